@@ -19,6 +19,11 @@ def ratio(part: Column, whole: Column, empty: float) -> Column:
     return F.when(whole > 0, part.cast("double") / whole).otherwise(F.lit(empty))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Number text with fixed digits, ties to even."""
+    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+
+
 def newest_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
                    salt_by: Column, rank_col: str = "newest_rank") -> DataFrame:
     """Newest ``n`` rows per key, in two ranking steps.

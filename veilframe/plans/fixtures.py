@@ -61,3 +61,58 @@ def docs_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id", "lang", F.concat("text", F.lit(". "), sentence_for(F.col("doc_id"))).alias("text")
     )
+
+
+AS_OF = "2024-01-30 12:00:00"
+
+
+def model_for(n):
+    """One of seven model names by remainder: exact, dated and unknown ones."""
+    m = n % 7
+    return (
+        F.when(m == 0, "gpt-4o").when(m == 1, "gpt-4o-mini-2024-07-18")
+        .when(m == 2, "claude-3-5-sonnet-20241022").when(m == 3, "claude-3-opus")
+        .when(m == 4, "gemini-2.5-pro").when(m == 5, "o1-mini").otherwise("local-llama")
+    )
+
+
+def usage_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage events from ``events``: some repeated, some of a later schema version."""
+    e = table(spark, sf_dir, "events")
+    copies = F.when(F.col("event_id") % 500 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    e = e.withColumn("copy", F.explode(copies))
+    n, value = F.col("event_id"), F.col("value")
+    failed = F.col("event_type") == "error"
+    zero = F.lit(0).cast("bigint")
+    floor = lambda x: F.floor(x).cast("bigint")
+    return e.select(
+        F.when(n % 997 == 0, 3).otherwise(2).alias("schema_version"),
+        F.concat(F.lit("ev-"), n.cast("string")).alias("event_id"),
+        F.col("ts").alias("event_ts"),
+        F.concat(F.lit("s-"), F.col("user_id").cast("string"), F.lit("-"), F.to_date("ts").cast("string")).alias("session_id"),
+        F.when(F.col("user_id") % 3 == 0, "default").when(F.col("user_id") % 3 == 1, "acme").otherwise("globex").alias("tenant_id"),
+        F.when(F.col("event_type") == "view", "passthrough").otherwise("chat_completions").alias("tool_name"),
+        model_for(n).alias("model_id"),
+        F.when(failed, n % 3).otherwise(0).cast("int").alias("retry_attempt"),
+        F.when(n % 7 == 6, zero).otherwise(F.lit(500).cast("bigint")).alias("tokens_in_system"),
+        floor(value * 100).alias("tokens_in_user"),
+        F.when(n % 4 == 0, floor(value * 20)).otherwise(zero).alias("tokens_in_cached"),
+        F.when(failed, zero).otherwise(floor(value * 30)).alias("tokens_out"),
+        F.when(n % 23 == 0, F.lit(128).cast("bigint")).otherwise(zero).alias("tokens_truncated"),
+        F.when((n % 7).isin(2, 3), floor(value * 5)).otherwise(zero).alias("tokens_in_cache_write"),
+        F.when(n % 7 == 6, "unavailable").when(n % 11 == 0, "estimated").otherwise("api_reported").alias("token_count_source"),
+        (n % 2 == 0).alias("was_streamed"),
+        ((n % 2 == 0) & failed).alias("was_partial"),
+        (floor(value * 37) + n % 50).alias("duration_ms"),
+        F.when(n % 7 == 3, floor(value)).alias("actual_cost_cents"),
+        (~failed).alias("success"),
+    )
+
+
+def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priced, guarded, deduplicated events with minute timestamps: the input of all statistics."""
+    from veilframe.operators.rollups import minute_truncate
+    from veilframe.operators.usage import with_cost
+    from veilframe.sources.usage_store import dedup_events, guard_schema_version
+
+    return minute_truncate(dedup_events(guard_schema_version(with_cost(usage_raw(spark, sf_dir)))))

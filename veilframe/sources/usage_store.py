@@ -41,9 +41,9 @@ USAGE_SCHEMA = T.StructType([
 
 def upgrade_events(df: DataFrame) -> DataFrame:
     """Any stored version in the current columns: absent columns are null, write tokens 0."""
-    empty = df.sparkSession.createDataFrame([], USAGE_SCHEMA)
-    full = empty.unionByName(df, allowMissingColumns=True).select(*[
-        F.col(f.name).cast(f.dataType) for f in USAGE_SCHEMA.fields
+    full = df.select(*[
+        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in USAGE_SCHEMA.fields
     ])
     return full.withColumn(
         "tokens_in_cache_write", F.coalesce("tokens_in_cache_write", F.lit(0).cast("bigint"))
