@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 RANK_SALTS = 64
 
 
+def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns that are computed exactly once.
+
+    A filter on a plain projected column is pushed below the projection with its whole
+    expression, which would run a detection again for every such filter (and blow up the plan
+    where columns build on each other). A one-row generator keeps filters above it.
+    """
+    one_row = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, one_row)
+
+
 def count_where(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
@@ -43,6 +55,24 @@ def newest_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int,
     )
 
 
+def previous_value(df: DataFrame, key: str, ts: str, order: list[str], value: Column, out: str) -> DataFrame:
+    """Add the value of the row before within a key, in two steps.
+
+    Rows are ordered inside one day of a key; the first row of a day takes the last value of the
+    key's day before, from a table with one row per key and day.
+    """
+    rows = df.withColumns({"__value": value, "__day": F.to_date(ts)})
+    inside = Window.partitionBy(key, "__day").orderBy(*order)
+    days = rows.groupBy(key, "__day").agg(F.max_by(F.struct("__value"), F.struct(*order)).alias("__last"))
+    before = F.lag("__last").over(Window.partitionBy(key).orderBy("__day"))
+    days = days.select(key, "__day", before["__value"].alias("__before"))
+    rows = rows.withColumns({"__prev": F.lag("__value").over(inside), "__n": F.row_number().over(inside)})
+    joined = rows.join(days, [key, "__day"])
+    return joined.withColumn(
+        out, F.when(F.col("__n") == 1, F.col("__before")).otherwise(F.col("__prev"))
+    ).drop("__value", "__day", "__prev", "__n", "__before")
+
+
 def sorted_pick(values: Column, index: Column) -> Column:
     """Element of the ascending sorted array at a zero-based index."""
     return F.get(F.array_sort(values), index.cast("int"))

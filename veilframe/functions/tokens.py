@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilframe.functions.spans import span_struct
+
 TOKEN_PATTERN = r"\[[A-Za-z][A-Za-z0-9_]*_\d+\]"
+# Tokens in JSON text that are not part of an object key.
+JSON_TOKEN_PATTERN = TOKEN_PATTERN + r'(?!(?:[^"\\]|\\.)*+"\s*+:)'
 
 
 def representatives(spans: Column) -> Column:
@@ -89,3 +93,56 @@ def replace_spans(text: Column, spans: Column, mappings: Column) -> Column:
 
 def gap(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
+
+
+def part_ranges(parts: Column) -> Column:
+    """Character range of every part in the joined text (each part is followed by one line break)."""
+    return F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<lo:int,hi:int>>").alias("out")),
+        lambda acc, p: F.struct(
+            (acc["pos"] + F.length(p["text"]) + 1).cast("int").alias("pos"),
+            F.concat(acc["out"], F.array(F.struct(
+                acc["pos"].alias("lo"), (acc["pos"] + F.length(p["text"])).cast("int").alias("hi")
+            ))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+
+
+def clip_to_parts(text: Column, spans: Column, ranges: Column) -> Column:
+    """Spans cut at part borders, so that every piece lies in one part."""
+
+    def inside(r: Column) -> Column:
+        hit = F.filter(spans, lambda s: (s["start"] < r["hi"]) & (s["end"] > r["lo"]))
+
+        def cut(s: Column) -> Column:
+            lo, hi = F.greatest(s["start"], r["lo"]), F.least(s["end"], r["hi"])
+            piece = gap(text, lo, hi)
+            begin = F.octet_length(gap(text, F.lit(0), lo))
+            whole = (s["start"] >= r["lo"]) & (s["end"] <= r["hi"])
+            return F.when(whole, s).otherwise(span_struct(
+                lo, hi, s["pii_type"], piece, s["confidence"], s["rank"], s["spec"], begin, begin + F.octet_length(piece)))
+
+        return F.transform(hit, cut)
+
+    return F.flatten(F.transform(ranges, inside))
+
+
+def replace_in_parts(parts: Column, ranges: Column, text: Column, spans: Column, mappings: Column) -> Column:
+    """Parts with tokens in place of their (clipped) findings."""
+
+    def render(p: Column, r: Column) -> Column:
+        inside = F.filter(spans, lambda s: (s["start"] >= r["lo"]) & (s["end"] <= r["hi"]))
+        pieces = F.transform(
+            inside,
+            lambda s, i: F.concat(
+                gap(text, F.coalesce(F.get(inside, i - 1)["end"], r["lo"]), s["start"]),
+                F.get(F.filter(mappings, lambda m: m["original"] == s["text"]), 0)["token"],
+            ),
+        )
+        tail = gap(text, F.coalesce(F.get(inside, F.size(inside) - 1)["end"], r["lo"]), r["hi"])
+        new = F.concat(F.array_join(pieces, ""), tail)
+        return F.struct(p["message"].alias("message"), p["part"].alias("part"), new.alias("text"))
+
+    return F.zip_with(parts, ranges, render)

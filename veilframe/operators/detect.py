@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.columns import pinned
 from veilframe.functions.recognizers import (
     MIN_CONFIDENCE,
     RECOGNIZERS,
@@ -71,15 +72,11 @@ def find_spans(
 def detect(df: DataFrame, text_col: str = "text", out: str = "spans", **layers) -> DataFrame:
     """Add the resolved, sorted, disjoint spans of ``text_col`` as an array column."""
     found = find_spans(df, text_col, out="__all", **layers)
-    return found.withColumn(out, resolve_overlaps(F.col("__all"))).drop("__all")
+    return pinned(found, {out: resolve_overlaps(F.col("__all"))}).drop("__all")
 
 
 def explode_spans(df: DataFrame, *keys: str, spans: str = "spans") -> DataFrame:
-    """Span table: one row per finding with the key columns.
-
-    The outer form keeps Spark from adding a ``size(spans) > 0`` filter below, which would
-    run the whole detection twice.
-    """
+    """Span table: one row per finding with the key columns."""
     rows = df.select(*keys, F.explode_outer(spans).alias("s")).where(F.col("s.pii_type").isNotNull())
     return rows.select(
         *keys,

@@ -116,3 +116,148 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veilframe.sources.usage_store import dedup_events, guard_schema_version
 
     return minute_truncate(dedup_events(guard_schema_version(with_cost(usage_raw(spark, sf_dir)))))
+
+
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations with one known sentence appended to the first user turn."""
+    c = table(spark, sf_dir, "conversations")
+    first = c.where(F.col("role") == "user").groupBy("conv_id").agg(F.min("turn").alias("first_user"))
+    joined = c.join(first, "conv_id", "left")
+    said = F.concat("text", F.lit(" "), sentence_for(F.col("conv_id")))
+    return joined.select(
+        "conv_id", "turn", "role",
+        F.when(F.col("turn") == F.col("first_user"), said).otherwise(F.col("text")).alias("text"),
+    )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One chat body per conversation: (request_id, session_id, ts, body).
+
+    Every fifth body has its content as a list of two text parts and an image part, every
+    eleventh a prompt.
+    """
+    m = chats(spark, sf_dir)
+    listed = F.array(
+        F.to_json(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))),
+        F.to_json(F.struct(F.lit("text").alias("type"), F.concat(F.lit("part of turn "), F.col("turn").cast("string")).alias("text"))),
+        F.lit('{"type":"image","url":"https://img.example.org/a.png"}'),
+    )
+    content = F.when(
+        F.col("conv_id") % 5 == 0, F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))
+    ).otherwise(F.substring(F.to_json(F.struct(F.col("text").alias("t"))), F.lit(6), F.length(F.to_json(F.struct(F.col("text").alias("t")))) - 6))
+    message = F.concat(F.lit('{"content":'), content, F.lit(',"role":"'), F.col("role"), F.lit('"}'))
+    grouped = m.select("conv_id", "turn", message.alias("message")).groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "message"))).alias("ms"))
+    n = F.col("conv_id")
+    prompt = F.when(n % 11 == 0, F.concat(F.lit(',"prompt":"mail bob'), n.cast("string"), F.lit('@example.com"'))).otherwise("")
+    body = F.concat(
+        F.lit('{"messages":['), F.array_join(F.transform("ms", lambda x: x["message"]), ","), F.lit('],"model":"'), model_for(n),
+        F.lit('"'), prompt, F.lit(',"stream":'), (n % 2 == 0).cast("string"), F.lit(',"temperature":0.5}'),
+    )
+    return grouped.select(
+        n.alias("request_id"),
+        F.concat(F.lit("s-"), (n % 50).cast("string")).alias("session_id"),
+        F.timestamp_seconds(F.lit(1704067200) + n * 60).alias("ts"),
+        body.alias("body"),
+    )
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider responses as JSON built from the usage events."""
+    e = usage_raw(spark, sf_dir).withColumn("n", F.substring("event_id", 4, 20).cast("bigint"))
+    e = e.dropDuplicates(["event_id"])
+    n = F.col("n")
+    anthropic = F.startswith("model_id", F.lit("claude"))
+    s = lambda c: F.col(c).cast("string")
+    openai_usage = F.concat(
+        F.lit('"usage":{"prompt_tokens":'), s("tokens_in_user"), F.lit(',"completion_tokens":'), s("tokens_out"),
+        F.lit(',"prompt_tokens_details":{"cached_tokens":'), s("tokens_in_cached"), F.lit("}}"))
+    anthropic_usage = F.concat(
+        F.lit('"usage":{"input_tokens":'), s("tokens_in_user"), F.lit(',"output_tokens":'), s("tokens_out"),
+        F.lit(',"cache_creation_input_tokens":'), s("tokens_in_cache_write"),
+        F.lit(',"cache_read_input_tokens":'), s("tokens_in_cached"), F.lit("}"))
+    usage_json = F.when(n % 17 == 0, '"id":"x"').when(anthropic, anthropic_usage).otherwise(openai_usage)
+    cost = F.when(n % 13 == 0, F.concat(F.lit(',"cost_usd":'), (n % 500).cast("string"), F.lit(".126"))).otherwise("")
+    return e.select(
+        "event_id", "event_ts", "session_id", "model_id", "tool_name", "duration_ms", "was_streamed",
+        anthropic.alias("is_anthropic"),
+        F.concat(F.lit('{"model":"'), F.col("model_id"), F.lit('",'), usage_json, cost, F.lit("}")).alias("response"),
+    )
+
+
+def sse_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event-stream chunks per conversation: three texts with tokens, then usage, then the end marker."""
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    n = F.col("conv_id")
+    text = lambda i, t: F.struct(
+        F.lit(i).alias("seq"), F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), t, F.lit('"}}]}')).alias("data"))
+    sid = n.cast("string")
+    usage_chunk = F.concat(
+        F.lit('data: {"note":"tail"}\ndata: {"usage":{"prompt_tokens":'), (n * 37 % 2000).cast("string"),
+        F.lit(',"completion_tokens":'), (n * 11 % 300).cast("string"), F.lit("}}"))
+    chunks = F.array_compact(F.array(
+        text(0, F.concat(F.lit("Hello "), sid)),
+        F.when(n % 7 != 0, text(1, F.lit("write to [EMAIL_ADDRESS_1] or [PHONE_NUMBER_1]"))),
+        F.when(n % 7 != 0, text(2, F.lit("and [NO_SUCH_9]"))),
+        F.when(n % 9 != 0, F.struct(F.lit(3).alias("seq"), usage_chunk.alias("data"))),
+        F.when(n % 10 != 0, F.struct(F.lit(4).alias("seq"), F.lit("data: [DONE]\n").alias("data"))),
+    ))
+    return c.select(
+        n.alias("stream_id"), F.concat(F.lit("s-"), (n % 50).cast("string")).alias("session_id"),
+        model_for(n).alias("model_id"), F.timestamp_seconds(F.lit(1704067200) + n * 60).alias("ts"),
+        F.explode(chunks).alias("c"),
+    ).select("stream_id", "session_id", "model_id", "ts", "c.seq", "c.data")
+
+
+def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    v = F.col("value")
+    stages = {"auth_ms": v * 0.125, "pii_detect_ms": v * 2, "pseudonymize_ms": v * 0.5, "upstream_ms": v * 16, "rehydrate_ms": v * 0.25}
+    return e.select(
+        "event_id", F.col("ts").alias("timestamp"), *[c.alias(k) for k, c in stages.items()],
+        (v * 18.875).alias("total_ms"),
+        F.when(F.col("event_id") % 3 == 0, "OpenAI").otherwise("Anthropic").alias("provider"),
+    )
+
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of 20 clients with time compressed sixtyfold: (event_id, client_id, ts, end_ts)."""
+    e = table(spark, sf_dir, "events")
+    micros = F.unix_micros("ts")
+    start = F.lit(1704067200000000) + F.call_function("div", micros - F.lit(1704067200000000), F.lit(60))
+    return e.select(
+        "event_id", F.concat(F.lit("c-"), (F.col("user_id") % 20).cast("string")).alias("client_id"),
+        F.timestamp_micros(start).alias("ts"),
+        F.timestamp_micros(start + F.floor(F.col("value") * 1000000).cast("bigint")).alias("end_ts"),
+    )
+
+
+def clipboard_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies per user: (event_id, client, ts, content); a content often repeats the one before."""
+    e = table(spark, sf_dir, "events")
+    n = F.floor(F.col("event_id") / 2).cast("bigint")
+    content = F.when(n % 3 == 0, F.concat(F.lit("plain words "), n.cast("string"))).otherwise(sentence_for(n))
+    return e.select("event_id", F.col("user_id").alias("client"), "ts",
+                    F.when(F.col("event_id") % 11 == 0, F.lit("same card 4111 1111 1111 1111 é")).otherwise(content).alias("content"))
+
+
+def key_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    detail = F.when(n % 101 == 0, "sk-demo-key").when(n % 307 == 0, F.repeat(F.lit("é"), 51)).otherwise(F.lit("rotated"))
+    return e.select("event_id", F.col("ts").alias("timestamp"), F.concat(F.lit("k-"), (F.col("user_id") % 40).cast("string")).alias("key_id"),
+                    F.col("event_type").alias("action"), detail.alias("detail"))
+
+
+def request_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    n, u = F.col("event_id"), F.col("user_id").cast("string")
+    return e.select(
+        "event_id",
+        F.when(n % 4 == 0, F.concat(F.lit("sess-"), u)).when(n % 4 == 1, "").alias("x_session_id"),
+        F.when(n % 3 != 0, F.concat(F.lit("Bearer "), u)).alias("authorization"),
+        F.when(n % 5 != 0, "agent/1.0").alias("user_agent"),
+        F.when(n % 7 == 0, "https://app.example.com").alias("origin"),
+        F.when(n % 2 == 0, "https://ref.example.com").alias("referer"),
+        F.lit("10.0.0.9").alias("x_forwarded_for"),
+    )
