@@ -55,9 +55,9 @@ def sentence_for(n):
     return F.get(sentences, (n % len(SENTENCES)).cast("int"))
 
 
-def docs_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+def docs_pii(spark: SparkSession, sf_dir: str, source=table) -> DataFrame:
     """documents with one known sentence appended: (doc_id, lang, text)."""
-    docs = table(spark, sf_dir, "documents")
+    docs = source(spark, sf_dir, "documents")
     return docs.select(
         "doc_id", "lang", F.concat("text", F.lit(". "), sentence_for(F.col("doc_id"))).alias("text")
     )
@@ -76,9 +76,9 @@ def model_for(n):
     )
 
 
-def usage_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def usage_raw(spark: SparkSession, sf_dir: str, source=table) -> DataFrame:
     """Usage events from ``events``: some repeated, some of a later schema version."""
-    e = table(spark, sf_dir, "events")
+    e = source(spark, sf_dir, "events")
     copies = F.when(F.col("event_id") % 500 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     e = e.withColumn("copy", F.explode(copies))
     n, value = F.col("event_id"), F.col("value")
@@ -220,9 +220,9 @@ def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_log(spark: SparkSession, sf_dir: str, source=table) -> DataFrame:
     """Requests of 20 clients with time compressed sixtyfold: (event_id, client_id, ts, end_ts)."""
-    e = table(spark, sf_dir, "events")
+    e = source(spark, sf_dir, "events")
     micros = F.unix_micros("ts")
     start = F.lit(1704067200000000) + F.call_function("div", micros - F.lit(1704067200000000), F.lit(60))
     return e.select(

@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of files (one file or a folder of files)."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    df = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    for field in schema.fields:
+        if isinstance(field.dataType, T.TimestampNTZType):
+            df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and written intermediates.
 
