@@ -1,4 +1,7 @@
-"""Custom state: token lifetime and ordered rate-limit decisions."""
+"""Custom state: token lifetime and ordered rate-limit decisions.
+
+State ends in event time: a timer per key clears it once the watermark has passed its life.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from veilframe.operators.limits import ALLOWED, DENIED_HOUR, DENIED_MINUTE, HOUR, MINUTE, Limits
+from veilframe.streaming.jobs import WATERMARK
 
 PROVIDER_SETTING = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-# Idle state is dropped by processing time well after its event-time end.
-_CLEANUP_MS = 24 * 3_600_000
+
+def _rearm(handle: StatefulProcessorHandle, at_us: int) -> None:
+    """One event-time timer per key, at the end of its state's life."""
+    for old in handle.listTimers():
+        handle.deleteTimer(old)
+    handle.registerTimer(at_us // 1_000 + 1)
 
 
 class TokenLifetime(StatefulProcessor):
@@ -26,7 +34,8 @@ class TokenLifetime(StatefulProcessor):
         self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("token", "original string, last_us long", ttlDurationMs=_CLEANUP_MS)
+        self.handle = handle
+        self.state = handle.getValueState("token", "original string, last_us long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "row_id"], kind="stable")
@@ -42,27 +51,33 @@ class TokenLifetime(StatefulProcessor):
             found.append(original)
         if original is not None:
             self.state.update((original, last))
+            _rearm(self.handle, last + self.ttl_us)
         elif self.state.exists():
             self.state.clear()
         yield pd.DataFrame({
             "session_id": key[0], "token": key[1], "row_id": batch["row_id"].to_numpy(), "found": found,
         })
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def token_lookups(accesses: DataFrame, ttl_minutes: int = 30) -> DataFrame:
+def token_lookups(accesses: DataFrame, ttl_minutes: int = 30, watermark: str = WATERMARK) -> DataFrame:
     """Original per token access, null once the token was idle longer than its lifetime.
 
     ``accesses``: session_id, token, original (set when added, null for a lookup), ts, row_id.
     State is keyed by session and token, so one busy session is spread over its tokens.
     """
-    rows = accesses.select("session_id", "token", "original", F.unix_micros("ts").alias("us"), "row_id")
+    timed = accesses.withWatermark("ts", watermark)
+    rows = timed.select("session_id", "token", "original", "ts", F.unix_micros("ts").alias("us"), "row_id")
     return rows.groupBy("session_id", "token").transformWithStateInPandas(
         statefulProcessor=TokenLifetime(ttl_minutes * 60_000_000),
         outputStructType="session_id string, token string, row_id long, found string",
-        outputMode="Append", timeMode="ProcessingTime",
+        outputMode="Append", timeMode="EventTime",
     )
 
 
@@ -73,7 +88,8 @@ class RateDecisions(StatefulProcessor):
         self.limits = limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getListState("accepted", "us long", ttlDurationMs=_CLEANUP_MS)
+        self.handle = handle
+        self.accepted = handle.getListState("accepted", "us long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "row_id"], kind="stable")
@@ -89,17 +105,23 @@ class RateDecisions(StatefulProcessor):
                 decisions.append(ALLOWED)
                 recent.append(int(us))
         self.accepted.put([(t,) for t in recent])
+        _rearm(self.handle, recent[-1] + HOUR)
         yield pd.DataFrame({"client_id": key[0], "row_id": batch["row_id"].to_numpy(), "decision": decisions})
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.accepted.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
-def rate_limit_stream(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def rate_limit_stream(requests: DataFrame, limits: Limits = Limits(), watermark: str = WATERMARK) -> DataFrame:
     """Decisions in arrival order; the state per client is at most one hour of accepts."""
-    rows = requests.select("client_id", F.unix_micros("ts").alias("us"), F.col("event_id").alias("row_id"))
+    timed = requests.withWatermark("ts", watermark)
+    rows = timed.select("client_id", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").alias("row_id"))
     return rows.groupBy("client_id").transformWithStateInPandas(
         statefulProcessor=RateDecisions(limits),
         outputStructType="client_id string, row_id long, decision string",
-        outputMode="Append", timeMode="ProcessingTime",
+        outputMode="Append", timeMode="EventTime",
     )
