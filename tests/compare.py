@@ -41,7 +41,7 @@ def rows_of(columns, rows):
     return sorted(columns), sorted(tuple(canon(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, sf_dir, query, sql, con=None):
+def compare(spark, sf_dir, query, sql, con=None, allow_empty=False):
     """None if equal, else a short description of the first difference."""
     df = query(spark, sf_dir)
     cols_s, rows_s = rows_of(df.columns, [tuple(r) for r in df.collect()])
@@ -56,7 +56,7 @@ def compare(spark, sf_dir, query, sql, con=None):
     elif rows_s != rows_d:
         diff = "values"
     else:
-        return None if rows_s else "both empty"
+        return None if rows_s or allow_empty else "both empty"
     only_s = sorted(set(rows_s) - set(rows_d))[:2]
     only_d = sorted(set(rows_d) - set(rows_s))[:2]
     return f"{diff}\n  columns {cols_s}\n  spark only {only_s}\n  duckdb only {only_d}"

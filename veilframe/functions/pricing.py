@@ -46,18 +46,17 @@ def price_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, f"model string, {columns}, pricing_as_of string")
 
 
-def static_price(model: Column) -> Column:
+def static_price(model_col: str = "model_id") -> Column:
     """Price struct of the longest table entry that the model id starts with, else null.
 
     The table is a fixed handful of rows, so it is part of the expression: no join.
     """
-    longest_first = sorted(PRICES, key=len, reverse=True)
-    choice = None
-    for name in longest_first:
-        value = F.struct(*[F.lit(v).cast("bigint").alias(c) for c, v in zip(PRICE_COLUMNS, PRICES[name])])
-        cond = F.startswith(model, F.lit(name))
-        choice = F.when(cond, value) if choice is None else choice.when(cond, value)
-    return choice.otherwise(F.lit(None)).cast(PRICE_STRUCT)
+    branches = " ".join(
+        f"WHEN startswith({model_col}, '{name}') THEN named_struct("
+        + ", ".join(f"'{c}', {v}L" for c, v in zip(PRICE_COLUMNS, PRICES[name])) + ")"
+        for name in sorted(PRICES, key=len, reverse=True)
+    )
+    return F.expr(f"CASE {branches} END").cast(PRICE_STRUCT)
 
 
 def system_tokens(price: Column) -> Column:

@@ -62,7 +62,7 @@ def usage_events_from_responses(df: DataFrame, response_col: str = "response") -
     """Complete usage events of successful responses."""
     step = df.withColumn("__r", parse_response(F.col(response_col)))
     step = step.withColumns({f"__{k}": v for k, v in reported(F.col("__r.usage"), F.col("is_anthropic")).items()})
-    system = P.system_tokens(P.static_price(F.col("model_id")))
+    system = P.system_tokens(P.static_price())
     absent = (F.col("__in") == 0) & (F.col("__out") == 0)
     zero = F.lit(0).cast("bigint")
     step = step.withColumns({
@@ -123,7 +123,7 @@ def usage_events_from_streams(closed: DataFrame) -> DataFrame:
     """Usage events of closed streams: estimated when no usage arrived."""
     anthropic = F.startswith("model_id", F.lit("claude"))
     step = closed.withColumn("__u", stream_usage(F.col("last_usage"), anthropic))
-    system = P.system_tokens(P.static_price(F.col("model_id")))
+    system = P.system_tokens(P.static_price())
     zero = F.lit(0).cast("bigint")
     known = F.col("__u").isNotNull()
     user = F.when(F.col("__u.in") > system, F.col("__u.in") - system).otherwise(F.col("__u.in"))

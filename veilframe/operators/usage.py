@@ -12,7 +12,7 @@ from veilframe.sources.usage_store import DEFAULT_TENANT, SCHEMA_VERSION, USAGE_
 
 def with_cost(df: DataFrame, cache_write: bool = False) -> DataFrame:
     """Add cost_estimate_cents, pricing_as_of, cost_unavailable from the static price table."""
-    priced = df.withColumn("__price", P.static_price(F.col("model_id")))
+    priced = df.withColumn("__price", P.static_price())
     cents = P.cost_cents(
         F.col("__price"), F.col("tokens_in_system"), F.col("tokens_in_user"), F.col("tokens_in_cached"),
         F.col("tokens_out"), F.col("tokens_in_cache_write") if cache_write else None,
@@ -49,7 +49,7 @@ def with_dynamic_cost(df: DataFrame, prices: DataFrame, prices_as_of: str) -> Da
 
 def pricing_coverage(df: DataFrame) -> DataFrame:
     """Distinct models with whether a price is known and their usual system-prompt size."""
-    price = P.static_price(F.col("model_id"))
+    price = P.static_price()
     return df.select("model_id").distinct().select(
         "model_id", price.isNotNull().alias("has_pricing"), P.system_tokens(price).alias("system_tokens")
     )

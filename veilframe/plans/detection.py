@@ -8,7 +8,7 @@ from veilframe.functions.recognizers import RECOGNIZERS, custom_recognizer, reco
 from veilframe.functions.taxonomy import SPECIFICITY
 from veilframe.operators import detect as D
 from veilframe.plans import oracle_detection as O
-from veilframe.plans.fixtures import docs_pii
+from veilframe.plans.fixtures import docs_pii, text_table
 from veilframe.plans.registry import register
 
 # Shared by queries and their SQL: what the callers would configure.
@@ -77,9 +77,7 @@ def resolved_spans(spark, sf_dir):
 select d.doc_id, exists (select 1 from found f where f.doc_id = d.doc_id) as has_pii from documents d""",
 )
 def contains_pii(spark, sf_dir):
-    from veilframe.session import table
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = text_table(spark, sf_dir, "documents").select("doc_id", "text")
     return D.contains_pii(docs).select("doc_id", "has_pii")
 
 

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.session import table
+from veilframe.session import spread, table
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, spread over all cores."""
+    return spread(table(spark, sf_dir, name))
+
 
 # One sentence per recognizer, in recognizer order. All are placeholders.
 SENTENCES: tuple[str, ...] = (
@@ -55,7 +61,7 @@ def sentence_for(n):
     return F.get(sentences, (n % len(SENTENCES)).cast("int"))
 
 
-def docs_pii(spark: SparkSession, sf_dir: str, source=table) -> DataFrame:
+def docs_pii(spark: SparkSession, sf_dir: str, source=text_table) -> DataFrame:
     """documents with one known sentence appended: (doc_id, lang, text)."""
     docs = source(spark, sf_dir, "documents")
     return docs.select(

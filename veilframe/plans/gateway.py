@@ -71,13 +71,12 @@ def rule_list_rows(spark, sf_dir):
     return _rules(spark, sf_dir).select("list", "id", "pattern", "enabled")
 
 
-@register("rule_lists_written_and_read", _RULES + " select list, id, pattern, enabled from rules where k <= 200")
+@register("rule_lists_written_and_read", _RULES + " select cast(k // 10 as varchar) as owner, list, id, pattern, enabled from rules")
 def rule_lists_written_and_read(spark, sf_dir):
-    # Rule lists are hand-written configuration; the file holds those of the first parts.
     path = work_path(spark, "rule-lists")
-    rules = _rules(spark, sf_dir).where(F.substring("id", 2, 20).cast("bigint") <= 200)
-    W.write_rule_lists(rules, path)
-    return W.read_rule_lists(spark, path).select("list", "id", "pattern", "enabled")
+    owner = F.floor(F.substring("id", 2, 20).cast("bigint") / 10).cast("string")
+    W.write_rule_lists(_rules(spark, sf_dir).withColumn("owner", owner), path)
+    return W.read_rule_lists(spark, path).select("owner", "list", "id", "pattern", "enabled")
 
 
 @register("validated_rules", _RULES + """ select list, id, trim(pattern) as pattern, coalesce(nullif(trim(label), ''), trim(pattern)) as label, enabled from rules
@@ -575,7 +574,7 @@ def _capitalized(texts):
 
     found = []
     for t in texts:
-        m = re.search(r"\b[A-Z][a-z]+", t)
+        m = re.search(r"\b[A-Z][a-z]+", t, re.ASCII)
         found.append([("PER", m.start(), m.end(), 0.9)] if m else [])
     return found
 
@@ -584,11 +583,10 @@ def _capitalized(texts):
 fed as (select doc_id, regexp_extract(text, '\\b[A-Z][a-z]+') as w, string_split_regex(text, '\\b[A-Z][a-z]+')[1] as g from docs_pii),
 every as (select doc_id, start, "end", rank, spec, pii_type, text, confidence from found
  union all select doc_id, length(g), length(g) + length(w), 100000, 1, 'PERSON', w, 0.9 from fed where w <> '')""", O.resolved_cte("every")]) +
-          " select pii_type, count(*) > 0 as seen from resolved group by all")
+          " select doc_id, pii_type, text, cast(start as int) as start from resolved")
 def model_hook_spans(spark, sf_dir):
     fed = hooks.model_spans(docs_pii(spark, sf_dir), _capitalized)
-    rows = D.explode_spans(D.detect(fed, feeds=["feed"]), "doc_id")
-    return rows.groupBy("pii_type").agg((F.count("*") > 0).alias("seen"))
+    return D.explode_spans(D.detect(fed, feeds=["feed"]), "doc_id").select("doc_id", "pii_type", "text", "start")
 
 
 def _word_share(texts, rule):

@@ -156,17 +156,25 @@ rated as (select m.model_id, arg_max(r, length(r.model)) as r from (select disti
 
 def _dynamic_rates(spark, sf_dir):
     from veilframe.sources.price_files import read_pricing_json
-    from veilframe.session import table
 
-    # The price file travels with the data: one copy per tenant region, merged again on read.
-    bodies = table(spark, sf_dir, "region").select(F.lit(DYNAMIC_PRICES).alias("body"))
-    return read_pricing_json(bodies)
+    return read_pricing_json(spark.createDataFrame([(DYNAMIC_PRICES,)], "body string"))
 
 
-@register("price_file_rows", "with " + ",\n".join([O.USAGE_RAW, _DYNAMIC_CTE]) +
-          " select model, i as input_cost_per_token, o as output_cost_per_token, cr as cache_read_input_token_cost, cw as cache_creation_input_token_cost from rates")
+@register("price_file_rows", """select 'm-' || p_partkey as model, case when p_partkey % 4 <> 0 then round(p_size / 1000000.0, 9)::double end as input_cost_per_token,
+ case when p_partkey % 6 <> 0 then round(p_size / 250000.0, 9)::double end as output_cost_per_token from part where p_partkey % 4 <> 0 or p_partkey % 6 <> 0""")
 def price_file_rows(spark, sf_dir):
-    return _dynamic_rates(spark, sf_dir)
+    """Price files of one entry per part, ten entries per file."""
+    from veilframe.session import table
+    from veilframe.sources.price_files import read_pricing_json
+
+    k, size = F.col("p_partkey"), F.col("p_size")
+    price = lambda name, value, cond: F.when(cond, F.concat(F.lit(f'"{name}":'), value.cast("string"), F.lit(",")) ).otherwise("")
+    entry = F.concat(
+        F.lit('"m-'), k.cast("string"), F.lit('":{'), price("input_cost_per_token", size / 1000000.0, k % 4 != 0),
+        price("output_cost_per_token", size / 250000.0, k % 6 != 0), F.lit('"mode":"chat"}'))
+    files = table(spark, sf_dir, "part").groupBy(F.floor(k / 10).alias("f")).agg(F.array_join(F.collect_list(entry), ",").alias("b"))
+    rows = read_pricing_json(files.select(F.concat(F.lit("{"), F.col("b"), F.lit("}")).alias("body")))
+    return rows.select("model", *[F.round(c, 9).alias(c) for c in ("input_cost_per_token", "output_cost_per_token")])
 
 
 @register("event_cost_dynamic", "with " + ",\n".join([O.USAGE_RAW, O.PRICES_CTE, O.priced_models_cte(), O.priced_cte(True), _DYNAMIC_CTE]) + f"""

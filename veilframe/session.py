@@ -21,6 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-heavy work on an input of few splits.
+
+    A large table has more splits than cores and is left alone; a table in one small file
+    would otherwise be scanned by one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a stream of files (one file or a folder of files)."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
