@@ -96,6 +96,19 @@ def test_connection_string_form_matches_plain_pattern(spark):
     assert got == sorted((i, m.start(), m.end()) for i, t in enumerate(texts) for m in plain.finditer(t))
 
 
+def test_domain_form_matches_plain_pattern(spark):
+    plain = re.compile(r"(?i)(?:(?:https?://)|(?:\b))(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?:/[^\s]*)?")
+    rng = __import__("random").Random(11)
+    texts = ["".join(rng.choice(["a", "bc", ".", ".", "-", "1", " ", "/", "https://", "com"]) for _ in range(30)) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    got = sorted((r.id, r.start, r.end) for r in D.explode_spans(D.scan_one(df, recognizer_for("URL")), "id").collect())
+    assert got == sorted((i, m.start(), m.end()) for i, t in enumerate(texts) for m in plain.finditer(t))
+
+
+def test_very_long_dotted_text_does_not_overflow(spark):
+    assert len(spans_of(spark, ["ab." * 50_000 + "com"])[0]) == 1
+
+
 def fold(spans):
     kept = []
     for m in sorted(spans, key=lambda s: (s[1], s[2], -s[3], s[4])):
@@ -124,10 +137,10 @@ def test_overlap_fold_against_plain_python(spark):
     rng = random.Random(7)
     kinds = ["URL", "EMAIL_ADDRESS", "DATE_TIME", "SPECIAL_RELIGION", "PERSON"]
     cases = []
-    for _ in range(300):
+    for i in range(300):
         spans = []
-        for k in range(rng.randint(0, 8)):
-            a = rng.randint(0, 20)
+        for k in range(rng.randint(0, 8) if i else 700):
+            a = rng.randint(0, 20 if i else 3000)
             spans.append((rng.choice(kinds), a, a + rng.randint(1, 8), rng.choice([0.5, 0.85, 0.9]), k))
         cases.append(spans)
     rows = [(i, [(a, b, -c, k, SPECIFICITY.get(t, 1), t, "x", c, a, b) for t, a, b, c, k in s]) for i, s in enumerate(cases)]

@@ -81,9 +81,15 @@ RECOGNIZERS: tuple[Recognizer, ...] = (
         digits=r"[-.\s]\d{3}[-.\s]\d{4}|\d(?:[ -]?\d){6}",
         first=r"\d+(",
     ),
+    # Stack-safe form of
+    # (?i)(?:(?:https?://)|(?:\b))(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?:/[^\s]*)?
+    # Labels are taken possessively up to the last one that two letters follow.
     Recognizer(
         "URL", 0.50,
-        r"(?i)(?:(?:https?://)|(?:\b))(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?:/[^\s]*)?",
+        r"(?i)(?:(?:https?://)|(?:\b))"
+        r"(?:(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.(?![A-Za-z]{2}))*+"
+        r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.(?=[A-Za-z]{2}))++"
+        r"[A-Za-z]{2,}(?:/[^\s]*)?",
         hints=(".",), guard=r"\.[A-Za-z\u017F\u212A]{2}",
     ),
     Recognizer(

@@ -131,8 +131,6 @@ def locate_matches(text: Column, lists: Column, rules: Sequence[Rule], allow: Se
         )
         # The last gap has no match after it.
         pieces = F.slice(pieces, 1, F.size(hit["m"]))
-        start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("bpos"), no_spans().alias("out"))
-
         def step(acc: Column, p: Column) -> Column:
             s = acc["pos"] + F.length(p["g"])
             e = s + F.length(p["m"])
@@ -141,10 +139,10 @@ def locate_matches(text: Column, lists: Column, rules: Sequence[Rule], allow: Se
             rule = hit["rule"]
             span = span_struct(s, e, rule["pii_type"], p["m"], rule["confidence"], rule["rank"],
                                rule["spec"], bs, be)
-            return F.struct(e.alias("pos"), be.alias("bpos"),
-                            F.concat(acc["out"], F.array(span)).alias("out"))
+            return F.struct(e.alias("pos"), be.alias("bpos"), *grow(acc, span))
 
-        return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+        start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("bpos"), *no_blocks())
+        return F.aggregate(pieces, start, step, all_blocks)
 
     spans = F.flatten(F.transform(hits, locate))
     keep = []
@@ -204,6 +202,27 @@ def external_span(text, start, end, pii_type, confidence, rank) -> Column:
                        type_specificity(pii_type), char_to_byte(text, start), char_to_byte(text, end))
 
 
+# Appending to an array copies it. Folds therefore fill short tails and keep full ones as blocks.
+_BLOCK = 64
+
+
+def no_blocks() -> list[Column]:
+    return [F.array().cast(f"array<{SPANS}>").alias("blocks"), no_spans().alias("tail")]
+
+
+def grow(acc: Column, span: Column) -> list[Column]:
+    """The accumulator fields after appending a span."""
+    full = F.size(acc["tail"]) >= _BLOCK
+    return [
+        F.when(full, F.concat(acc["blocks"], F.array(acc["tail"]))).otherwise(acc["blocks"]).alias("blocks"),
+        F.when(full, F.array(span)).otherwise(F.concat(acc["tail"], F.array(span))).alias("tail"),
+    ]
+
+
+def all_blocks(acc: Column) -> Column:
+    return F.flatten(F.concat(acc["blocks"], F.array(acc["tail"])))
+
+
 def resolve_overlaps(spans: Column) -> Column:
     """Sorted, disjoint spans.
 
@@ -228,15 +247,19 @@ def resolve_overlaps(spans: Column) -> Column:
         )
 
     def step(acc: Column, m: Column) -> Column:
-        e = F.element_at(acc, -1)
+        tail = acc["tail"]
+        e = F.get(tail, F.size(tail) - 1)
+        swapped = F.struct(
+            acc["blocks"].alias("blocks"),
+            F.concat(F.slice(tail, F.lit(1), F.size(tail) - 1), F.array(m)).alias("tail"),
+        )
         return (
-            F.when(F.size(acc) == 0, F.array(m))
-            .when(m["start"] >= e["end"], F.concat(acc, F.array(m)))
-            .when(wins(m, e), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(m)))
+            F.when((F.size(tail) == 0) | (m["start"] >= e["end"]), F.struct(*grow(acc, m)))
+            .when(wins(m, e), swapped)
             .otherwise(acc)
         )
 
-    return F.aggregate(F.array_sort(spans), no_spans(), step)
+    return F.aggregate(F.array_sort(spans), F.struct(*no_blocks()), step, all_blocks)
 
 
 def type_counts(spans: Column) -> Column:

@@ -9,8 +9,9 @@ from veilframe.functions.spans import LAYER_STEP, LAYERS
 from veilframe.functions.taxonomy import DEFAULT_SPECIFICITY, SPECIFICITY
 from veilframe.plans.fixtures import SENTENCES
 
-# The possessive connection-string pattern in the form other regex engines read.
+# The stack-safe patterns in the form other regex engines read.
 _PLAIN_PATTERN = {
+    "URL": r"(?i)(?:(?:https?://)|(?:\b))(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?:/[^\s]*)?",
     "CREDENTIAL_CONNECTION_STRING": r"(?i)(?:[a-z_ ]+\s*=\s*[^;]+;\s*){3,}",
 }
 
