@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.session import work_path
@@ -15,7 +15,12 @@ from veilframe.session import work_path
 #: A joined side is broadcast only when it is known to have at most so many (narrow) rows.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that one vectorised step handles at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+
+
+def limit_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let Arrow batches to Python workers have at most so many bytes, whatever the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

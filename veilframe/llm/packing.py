@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import chunks, sized_join, text_buffer, written
+from veilframe.llm.common import chunks, limit_batches, sized_join, text_buffer, written
 from veilframe.llm.pieces import piece_table
 
 TOKENIZER, CAPACITY, END_ID = "byte_bpe_50k.json", 2048, 1
@@ -262,6 +262,7 @@ def pack(
     (task, row) names a row of the token table; ``piece_ids`` cuts the ids of pieces from it.
     """
     spark = docs.sparkSession
+    limit_batches(spark)
     tokens, narrow = encoded(docs, id_col, text_col, tokenizer, capacity, end_id)
     where = ["id", "task", "row", "doc_tokens"]
     blocks = tokens.where(F.col("doc_tokens") >= capacity).select(

@@ -28,7 +28,7 @@ from veilframe.llm.bytearrays import (
     sums_by_text,
     words,
 )
-from veilframe.llm.common import chunks, fresh_name, text_buffer
+from veilframe.llm.common import chunks, fresh_name, limit_batches, text_buffer
 
 #: Base rule: fewest words, and most percent of words in repeated windows of ``WINDOW`` words.
 LEAST_WORDS, MOST_PERCENT, WINDOW = 50, 50, 3
@@ -199,6 +199,7 @@ def repetition_rules(
 
 def keep_varied(docs: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """The rows whose text passes the rules, with their own columns only."""
+    limit_batches(docs.sparkSession)
     mark = fresh_name(docs, "verdict")
     judged = docs.withColumn(mark, repetition_rules(text_col, **limits))
     return judged.where(F.col(mark)["kept"]).select([docs_col(c) for c in docs.columns])

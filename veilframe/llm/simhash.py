@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.bytearrays import words
-from veilframe.llm.common import chunks, fresh_name, sized_join, text_buffer, written
+from veilframe.llm.common import chunks, fresh_name, limit_batches, sized_join, text_buffer, written
 from veilframe.llm.components import components
 from veilframe.llm.golay import BITS, nearest
 
@@ -135,6 +135,7 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """One row (id, fp, component) per row of ``docs``; component is the smallest id that links lead to."""
+    limit_batches(docs.sparkSession)
     prints = written(docs.select(F.col(id_col).alias("id"), simhash(text_col, shingle_words).alias("fp")), "fingerprints")
     return with_components(prints)
 
@@ -153,6 +154,7 @@ def with_components(prints: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows without near-duplicates of a row with a smaller id (ties: one row stays)."""
+    limit_batches(docs.sparkSession)
     row = fresh_name(docs, "row")
     docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     prints = written(docs.select(F.col(row).alias("id"), F.col(id_col).alias("name"), simhash(text_col).alias("fp")), "fingerprints")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.bytearrays import Words, byte_prefix, mix, prefix_hash, span_hash, words
-from veilframe.llm.common import chunks, fresh_name, sized_join, text_buffer, written
+from veilframe.llm.common import chunks, fresh_name, limit_batches, sized_join, text_buffer, written
 
 WINDOW = 35
 #: Words of the sequences among which a window's minimiser is chosen.
@@ -39,7 +39,7 @@ SEED_WORDS = 12
 #: Minimisers with more than this share of all super-k-mers (and ``HOT_LEAST`` of them) are hot.
 HOT_SHARE, HOT_LEAST = 1 / 1000, 1000
 #: Text per bucket, and text that a task packs before it hands its strings on.
-BUCKET_BYTES, PACK_BYTES = 4 << 20, 8 << 20
+BUCKET_BYTES, PACK_BYTES = 4 << 20, 4 << 20
 
 
 def _moving_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -331,6 +331,7 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, seed_words: int = S
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
     """The rows with ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space)."""
+    limit_batches(docs.sparkSession)
     a, b, at, ln = (fresh_name(docs, x) for x in ("k1", "k2", "starts", "counts"))
     others = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns if c != text_col and not isinstance(docs.schema[c].dataType, _Nested)]
     keyed = docs.withColumns({a: F.xxhash64(*others, F.col(text_col)), b: F.xxhash64(F.lit(b), F.col(text_col), *others)})

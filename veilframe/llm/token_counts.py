@@ -2,7 +2,7 @@
 
 Long and short texts are cut at safe boundaries (see ``pieces``), the library encodes batches of
 pieces balanced by bytes, and only numbers leave the worker. No shuffle, memory bounded by one
-Arrow batch (64 MB) and a table of bounded size.
+Arrow batch (8 MB) and a table of bounded size.
 
 Defined results: null counts as empty (0 bytes, 0 tokens); special strings in a text are handled
 as the library does by default; repeated rows get equal counts; other columns are kept, and a
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import chunks, text_buffer
+from veilframe.llm.common import chunks, limit_batches, text_buffer
 from veilframe.llm.pieces import piece_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +38,7 @@ def token_count(text: str | Column, tokenizer: str = TOKENIZER) -> Column:
 
 def count_tokens(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
     """The rows with ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens)."""
+    limit_batches(docs.sparkSession)
     counted = docs.withColumns({
         "n_bytes": F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"),
         "n_tokens": token_count(text_col, tokenizer),
