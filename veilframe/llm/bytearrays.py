@@ -16,7 +16,7 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_CODES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     def of(base: int) -> np.ndarray:
         out = np.full(size, base, np.uint64)
@@ -28,7 +28,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2^64, at least ``count`` of each."""
-    size = 1 << 16
+    size = 1 << 20
     while size < count:
         size *= 2
     return _powers(size)

@@ -15,10 +15,10 @@ from veilframe.session import work_path
 #: A joined side is broadcast only when it is known to have at most so many (narrow) rows.
 BROADCAST_ROWS = 200_000
 #: Bytes of text that one vectorised step handles at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
-def limit_batches(spark: SparkSession, size: str = "8m") -> None:
+def limit_batches(spark: SparkSession, size: str = "4m") -> None:
     """Let Arrow batches to Python workers have at most so many bytes, whatever the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

@@ -25,7 +25,7 @@ import pandas as pd
 from veilframe.llm.bytearrays import byte_prefix, separated, span_hash
 
 #: Entries of a worker's table; it starts anew when it has more.
-TABLE_ENTRIES = 600_000
+TABLE_ENTRIES = 400_000
 #: Bytes of pieces that the library gets at once.
 BATCH_BYTES = 1 << 16
 

@@ -2,7 +2,7 @@
 
 Long and short texts are cut at safe boundaries (see ``pieces``), the library encodes batches of
 pieces balanced by bytes, and only numbers leave the worker. No shuffle, memory bounded by one
-Arrow batch (8 MB) and a table of bounded size.
+Arrow batch (4 MB) and a table of bounded size.
 
 Defined results: null counts as empty (0 bytes, 0 tokens); special strings in a text are handled
 as the library does by default; repeated rows get equal counts; other columns are kept, and a
