@@ -129,4 +129,7 @@ def detect_distinct(df: DataFrame, key: str, text_col: str = "text", **layers) -
     hashed = df.withColumn("content_hash", F.sha2(F.col(text_col), 256))
     unique = hashed.select("content_hash", text_col).dropDuplicates(["content_hash"])
     found = detect(unique, text_col, **layers).drop(text_col)
-    return hashed.select(key, "content_hash").join(found, "content_hash")
+    copies = hashed.select(key, F.col("content_hash").alias("copy_hash"))
+    # Null texts have no hash; they meet the one null content.
+    joined = copies.join(found, F.col("copy_hash").eqNullSafe(F.col("content_hash")))
+    return joined.drop("content_hash").withColumnRenamed("copy_hash", "content_hash")

@@ -16,21 +16,29 @@ Finder = Callable[[pd.Series], list[list[tuple[str, int, int, float]]]]
 _RAW = "array<struct<label:string,start:int,end:int,score:double>>"
 
 
+def _found(finder: Finder, texts: pd.Series) -> list[list[tuple[str, int, int, float]]]:
+    """Findings of each text; a text that makes the finder raise has none."""
+    try:
+        return list(finder(texts))
+    except Exception:
+        if len(texts) <= 1:
+            return [[] for _ in range(len(texts))]
+        half = len(texts) // 2
+        return _found(finder, texts.iloc[:half]) + _found(finder, texts.iloc[half:])
+
+
 def model_spans(df: DataFrame, finder: Finder, layer: str = "ner", text_col: str = "text", out: str = "feed") -> DataFrame:
     """Run a span finder over batches of texts and add its spans as a feed column.
 
-    A batch whose finder raises gives no spans for its texts; detection goes on with the
-    other layers.
+    If the finder raises, the batch is halved until the failing texts stand alone; only those
+    give no spans, and detection goes on with the other layers.
     """
     kept = df.schema
     names = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                found = finder(batch[text_col])
-            except Exception:  # a failing model degrades to no findings
-                found = [[] for _ in range(len(batch))]
+            found = _found(finder, batch[text_col])
             rows = [[{"label": a, "start": b, "end": c, "score": d} for a, b, c, d in spans] for spans in found]
             yield batch.assign(__raw=rows)[[*names, "__raw"]]
 

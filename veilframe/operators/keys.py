@@ -19,7 +19,8 @@ def key_log(events: DataFrame, size: int = LOG_SIZE) -> DataFrame:
 
 
 def events_for_key(events: DataFrame, key_id: str, size: int = LOG_SIZE) -> DataFrame:
-    return key_log(events, size).where(F.col("key_id") == key_id)
+    """The newest events of one key; other keys' events do not push them out."""
+    return key_log(events.where(F.col("key_id") == key_id), size)
 
 
 def key_safety_audit(events: DataFrame, prefixes: Sequence[str] = KEY_PREFIXES) -> DataFrame:

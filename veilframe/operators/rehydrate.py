@@ -34,11 +34,14 @@ def token_values(texts: DataFrame, token_map: DataFrame, key: str, text_col: str
     """Per text the map of its tokens' values (key, found).
 
     Only (key, scope, token) rows are joined, never the texts. A scope with very many texts
-    makes a hot join key on the text side only; the token map has one row per (scope, token),
-    so skewed partitions can be split.
+    makes a hot join key on the text side only, so skewed partitions can be split. Requests of
+    one session reuse token names: the value that came last wins (by ``last_accessed``; without
+    that column, the greatest), so the map may hold a token several times.
     """
     wanted = texts.select(key, scope, F.explode(tokens_in(F.col(text_col))).alias("token"))
-    values = token_map.select(scope, "token", (F.col("original") if value is None else value).alias("value"))
+    shown = F.col("original") if value is None else value
+    latest = F.max_by(shown, F.struct("last_accessed", "original")) if "last_accessed" in token_map.columns else F.max(shown)
+    values = token_map.groupBy(scope, "token").agg(latest.alias("value"))
     hits = wanted.join(values, [scope, "token"])
     return hits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("found"))
 

@@ -421,8 +421,9 @@ MEASURES = (
 
 def reconcile(stats: DataFrame, events: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Measures of session stats that differ from their events by more than the tolerance."""
-    expected = session_counters(events).select("session_id", *[F.col(m).alias(f"e_{m}") for m in MEASURES])
-    both = stats.select("session_id", *MEASURES).join(expected, "session_id", "full_outer")
+    keys = ["session_id", "tenant_id"]
+    expected = session_counters(events).select(*keys, *[F.col(m).alias(f"e_{m}") for m in MEASURES])
+    both = stats.select(*keys, *MEASURES).join(expected, keys, "full_outer")
     zero = F.lit(0).cast("bigint")
     rows = both.select(
         "session_id",

@@ -448,7 +448,7 @@ def key_event_log(spark, sf_dir):
     return keys.key_log(key_events(spark, sf_dir), 5000).select("event_id", "key_id", "action")
 
 
-@register("key_events_of_one_key", "with " + _KEYS + " select event_id, action from (select * from k order by timestamp desc, event_id desc limit 10000) where key_id = 'k-7'")
+@register("key_events_of_one_key", "with " + _KEYS + " select event_id, action from k where key_id = 'k-7' order by timestamp desc, event_id desc limit 10000")
 def key_events_of_one_key(spark, sf_dir):
     return keys.events_for_key(key_events(spark, sf_dir), "k-7").select("event_id", "action")
 

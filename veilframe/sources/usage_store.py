@@ -72,9 +72,11 @@ def dedup_events(df: DataFrame, key: str = "event_id", order: tuple[str, ...] =
     """First event per id wins.
 
     ``row_number() = 1`` lets Spark keep one row per id already before the shuffle, so an id
-    that is repeated very often does not pile up in one task.
+    that is repeated very often does not pile up in one task. Events that tie in the order are
+    told apart by a hash of all their columns, so the same event wins in every run.
     """
-    w = Window.partitionBy(key).orderBy(*order)
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    w = Window.partitionBy(key).orderBy(*order, F.xxhash64(*plain))
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
