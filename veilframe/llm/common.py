@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,24 @@ def limit_batches(spark: SparkSession, size: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's function that returns free pages, where it has one (glibc)."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system.
+
+    Python workers are reused by later stages; without this each keeps the peak of all it ever ran.
+    Call it after a batch, when its arrays are gone.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim is not None:
+        trim(0)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: evaluated once, lineage cut, survives lost executors."""
     path = work_path(df.sparkSession, label)
@@ -62,10 +82,14 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(at: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``most`` bytes; a longer text is a range of its own."""
+    """Ranges of rows of about ``most`` bytes; a longer text is a range of its own.
+
+    Memory that a range took is given back before the next one.
+    """
     begin, rows = 0, len(at) - 1
     while begin < rows:
         end = int(np.searchsorted(at, at[begin] + most, side="right")) - 1
         end = min(max(end, begin + 1), rows)
         yield begin, end
+        release_memory()
         begin = end

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.bytearrays import Words, byte_prefix, mix, prefix_hash, span_hash, words
-from veilframe.llm.common import chunks, fresh_name, limit_batches, sized_join, text_buffer, written
+from veilframe.llm.common import chunks, fresh_name, limit_batches, release_memory, sized_join, text_buffer, written
 
 WINDOW = 35
 #: Words of the sequences among which a window's minimiser is chosen.
@@ -236,6 +236,7 @@ def _pack(window: int, seed_words: int, buckets: int, hot: np.ndarray):
 def _count(window: int):
     def run(table: pa.Table) -> pa.Table:
         """One bucket: sort all windows, answer those that are not alone."""
+        release_memory()  # of the bucket before
         column = {n: table.column(n).to_pylist() for n in ("body", "digests", "keys", "starts", "counts", "known")}
         k1s, k2s, begins, lengths = [], [], [], []
         packed, loose = [], []
