@@ -44,3 +44,55 @@ def test_ties_are_decided_by_content(spark):
     a = spark.createDataFrame(rows, "event_id string, event_ts int, payload string")
     b = spark.createDataFrame(rows[::-1], a.schema).repartition(7)
     assert dedup_events(a).collect() == dedup_events(b).collect()
+
+
+def test_durations_of_a_hot_key_are_exact_over_all_events(spark):
+    from veilframe.operators.rollups import duration_percentiles, global_duration_percentiles
+
+    n = 30_001  # more than any ring buffer
+    rows = spark.range(n).selectExpr("'hot' as k", "id as event_id", "timestamp_seconds(id) as event_ts", "(id * 7919) % 30001 as duration_ms")
+    rows = rows.unionByName(spark.sql("select 'none' as k, -1L as event_id, timestamp_seconds(0) as event_ts, cast(null as bigint) as duration_ms"))
+    got = {r["k"]: tuple(r)[1:] for r in duration_percentiles(rows, ["k"]).collect()}
+    assert got == {"hot": (15000.0, 15000.0, 29700.0), "none": (0.0, 0.0, 0.0)}
+    assert tuple(global_duration_percentiles(rows).first()) == (15000.0, 15000.0, 29700.0)
+    newest = rows.where("k = 'hot' and event_id >= 30000").first()["duration_ms"]
+    assert duration_percentiles(rows.where("k = 'hot'"), ["k"], samples=1).first()["p99_duration_ms"] == newest
+
+
+def test_latency_percentiles_are_exact_also_inside_one_millisecond(spark):
+    from veilframe.operators.latency import STAGES, latency_stats
+
+    def of(values):
+        rows = [(f"e{i}", i, *[float(v)] * len(STAGES)) for i, v in enumerate(values)]
+        return latency_stats(spark.createDataFrame(rows, "event_id string, timestamp long, " + ", ".join(f"{s} double" for s in STAGES))).first()
+
+    fine = of([5 + i / 1000 for i in range(1000)])
+    assert fine["p95_total_ms"] == 5 + 950 / 1000 and fine["p99_total_ms"] == 5 + 990 / 1000
+    spread = of(range(5000))
+    assert (spread["p95_total_ms"], spread["p99_total_ms"]) == (4750.0, 4950.0)
+    none = of([])
+    assert (none["sample_count"], none["p95_total_ms"], none["within_budget"]) == (0, 0.0, True)
+
+
+def test_retention_prunes_day_folders(spark, tmp_path):
+    from veilframe.sources import usage_store as S
+
+    rows = spark.range(40).selectExpr("concat('e', id) as event_id", "timestamp'2024-01-01' + make_dt_interval(cast(id as int)) as event_ts")
+    S.write_usage_events(S.upgrade_events(rows), str(tmp_path / "store"))
+    kept = S.purge_older_than(S.read_usage_events(spark, str(tmp_path / "store")), "2024-02-10", 10)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and "PartitionFilters: [" in plan
+    assert kept.count() == 10  # 31 January to 9 February
+    gone = S.purged_count(S.read_usage_events(spark, str(tmp_path / "store")), "2024-02-10", 10)
+    assert gone.first()["purged"] == 30
+
+
+def test_logs_and_exports_have_no_hidden_bound(spark, tmp_path):
+    from veilframe.operators.keys import events_for_key
+    from veilframe.sources import usage_store as S
+
+    rows = spark.range(12_000).selectExpr("concat('e', id) as event_id", "timestamp_seconds(id) as timestamp", "'k' as key_id")
+    assert events_for_key(rows, "k").count() == 12_000 and events_for_key(rows, "k", 5).count() == 5
+    events = S.upgrade_events(rows.selectExpr("event_id", "timestamp as event_ts", "'acme' as tenant_id"))
+    S.export_events(events, str(tmp_path / "all"), "acme")
+    assert spark.read.json(str(tmp_path / "all")).count() == 12_000

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,19 +75,31 @@ def previous_value(df: DataFrame, key: str, ts: str, order: list[str], value: Co
     ).drop("__value", "__day", "__prev", "__n", "__before")
 
 
-def sorted_pick(values: Column, index: Column) -> Column:
-    """Element of the ascending sorted array at a zero-based index."""
-    return F.get(F.array_sort(values), index.cast("int"))
+def ranked_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Per key the mean of a column and its exact values at given ranks, over all rows.
+
+    ``ranks`` maps result names to the zero-based rank as a function of the number of values; nulls
+    do not count. Rows are counted per (key, value) before the shuffle and ranked by running sums of
+    the counts, so a hot key costs as much as it has distinct values, and nothing is collected.
+    """
+    counts = df.groupBy(*keys, F.col(value).alias("__value")).agg(F.count(value).alias("__n"))
+    group = Window.partitionBy(*keys)
+    running = group.orderBy("__value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumns({"__upto": F.sum("__n").over(running), "__all": F.sum("__n").over(group)})
+    return ranked.groupBy(*keys).agg(
+        F.try_divide(F.sum(F.col("__value") * F.col("__n")), F.sum("__n")).alias("mean"),
+        *[F.min(F.when(F.col("__upto") > rank(F.col("__all")), F.col("__value"))).alias(name) for name, rank in ranks.items()],
+    )
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """Percentile at index round((n-1)*p)."""
-    return sorted_pick(values, F.round((F.size(values) - 1) * F.lit(p)))
+def nearest_rank(p: float) -> Callable[[Column], Column]:
+    """Rank round((n-1)*p)."""
+    return lambda n: F.round((n - 1) * F.lit(p))
 
 
-def ceiling_rank(values: Column, p: float) -> Column:
-    """Percentile at index ceil(p*(n-1))."""
-    return sorted_pick(values, F.ceil(F.lit(p) * (F.size(values) - 1)))
+def ceiling_rank(p: float) -> Callable[[Column], Column]:
+    """Rank ceil(p*(n-1))."""
+    return lambda n: F.ceil(F.lit(p) * (n - 1))
 
 
 def longest_prefix_match(ids: DataFrame, id_col: str, entries: DataFrame, prefix_col: str) -> DataFrame:

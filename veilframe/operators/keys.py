@@ -7,19 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOG_SIZE = 10_000
 MAX_DETAIL_BYTES = 100
 # Prefixes that look like a key; a deployment adds the prefix of its own gateway keys.
 KEY_PREFIXES = ("sk-",)
 
 
-def key_log(events: DataFrame, size: int = LOG_SIZE) -> DataFrame:
-    """The newest events; each task keeps only its own newest before they are merged."""
+def key_log(events: DataFrame, size: int | None = None) -> DataFrame:
+    """All events, or the newest ``size``; each task keeps only its own newest before they are merged."""
+    if size is None:
+        return events
     return events.orderBy(F.desc("timestamp"), F.desc("event_id")).limit(size)
 
 
-def events_for_key(events: DataFrame, key_id: str, size: int = LOG_SIZE) -> DataFrame:
-    """The newest events of one key; other keys' events do not push them out."""
+def events_for_key(events: DataFrame, key_id: str, size: int | None = None) -> DataFrame:
+    """All or the newest events of one key; other keys' events do not push them out."""
     return key_log(events.where(F.col("key_id") == key_id), size)
 
 

@@ -6,13 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from veilframe.functions.columns import count_where, fixed, nearest_rank, newest_per_key, ratio
+from veilframe.functions.columns import count_where, fixed, nearest_rank, newest_per_key, ranked_values, ratio
 from veilframe.functions.pricing import PRICING_AS_OF, usd
 from veilframe.sources.usage_store import DEFAULT_TENANT
 
-KEY_SAMPLES, GLOBAL_SAMPLES = 1_000, 10_000
 IDLE_MINUTES = 30
-EVENT_CAP = 10_000
 
 # Texts of the statistics.
 BASELINE_METHOD = "full_file_read"
@@ -52,29 +50,26 @@ def recount() -> list[Column]:
     return [F.sum(c).alias(c) for c in (*SUMS, *COUNTS)]
 
 
-def duration_percentiles(df: DataFrame, keys: list[str], samples: int = KEY_SAMPLES) -> DataFrame:
-    """avg, p50 and p99 of ``duration_ms`` over the newest samples of each key.
+def duration_percentiles(df: DataFrame, keys: list[str], samples: int | None = None) -> DataFrame:
+    """avg, p50 and p99 of ``duration_ms`` of each key over all events, or over its newest ``samples``."""
+    rows = df.select(*keys, "event_ts", "event_id", "duration_ms")
+    if samples is not None:
+        rows = newest_per_key(rows, keys, [F.desc("event_ts"), F.desc("event_id")], samples, F.col("event_id"))
+    return _duration_stats(rows, keys)
 
-    The sample bound is the definition of the measure, so the array per key is bounded.
-    """
-    order = [F.desc("event_ts"), F.desc("event_id")]
-    newest = newest_per_key(df.select(*keys, "event_ts", "event_id", "duration_ms"), keys, order,
-                            samples, F.col("event_id"))
-    return _duration_stats(newest.groupBy(*keys))
 
+def global_duration_percentiles(df: DataFrame, samples: int | None = None) -> DataFrame:
+    if samples is not None:
+        df = df.orderBy(F.desc("event_ts"), F.desc("event_id")).limit(samples)
+    return _duration_stats(df, [])
 
-def global_duration_percentiles(df: DataFrame, samples: int = GLOBAL_SAMPLES) -> DataFrame:
-    newest = df.orderBy(F.desc("event_ts"), F.desc("event_id")).limit(samples)
-    return _duration_stats(newest.groupBy())
 
-
-def _duration_stats(grouped) -> DataFrame:
-    rows = grouped.agg(F.collect_list("duration_ms").alias("__d"), F.avg("duration_ms").alias("avg_duration_ms"))
-    return rows.withColumns({
-        "avg_duration_ms": F.coalesce("avg_duration_ms", F.lit(0.0)),
-        "p50_duration_ms": F.coalesce(nearest_rank(F.col("__d"), 0.50).cast("double"), F.lit(0.0)),
-        "p99_duration_ms": F.coalesce(nearest_rank(F.col("__d"), 0.99).cast("double"), F.lit(0.0)),
-    }).drop("__d")
+def _duration_stats(df: DataFrame, keys: list[str]) -> DataFrame:
+    rows = ranked_values(df, keys, "duration_ms", {"p50": nearest_rank(0.50), "p99": nearest_rank(0.99)})
+    return rows.select(
+        *keys,
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"{name}_duration_ms") for c, name in (("mean", "avg"), ("p50", "p50"), ("p99", "p99"))],
+    )
 
 
 def _with_durations(stats: DataFrame, df: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,13 +130,13 @@ def idle_cutoff(as_of: str, minutes: int = IDLE_MINUTES) -> Column:
     return F.lit(as_of).cast("timestamp") - F.expr(f"interval {int(minutes)} minutes")
 
 
-def event_cap(df: DataFrame, n: int = EVENT_CAP) -> DataFrame:
+def event_cap(df: DataFrame, n: int) -> DataFrame:
     """Newest n events of each session."""
     order = [F.desc("event_ts"), F.desc("event_id")]
     return newest_per_key(df, ["session_id"], order, n, F.col("event_id")).drop("newest_rank")
 
 
-def trimmed_sessions(df: DataFrame, n: int = EVENT_CAP) -> DataFrame:
+def trimmed_sessions(df: DataFrame, n: int) -> DataFrame:
     sizes = df.groupBy("session_id").agg(F.count("*").alias("n"))
     return sizes.agg(count_where(F.col("n") > n).alias("trimmed"))
 

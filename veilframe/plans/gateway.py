@@ -443,12 +443,12 @@ _KEYS = """k as (select event_id, ts as timestamp, 'k-' || (user_id % 40) as key
  case when event_id % 101 = 0 then 'sk-demo-key' when event_id % 307 = 0 then repeat('é', 51) else 'rotated' end as detail from events)"""
 
 
-@register("key_event_log", "with " + _KEYS + " select event_id, key_id, action from k order by timestamp desc, event_id desc limit 5000")
+@register("key_event_log", "with " + _KEYS + " select event_id, key_id, action from k")
 def key_event_log(spark, sf_dir):
-    return keys.key_log(key_events(spark, sf_dir), 5000).select("event_id", "key_id", "action")
+    return keys.key_log(key_events(spark, sf_dir)).select("event_id", "key_id", "action")
 
 
-@register("key_events_of_one_key", "with " + _KEYS + " select event_id, action from k where key_id = 'k-7' order by timestamp desc, event_id desc limit 10000")
+@register("key_events_of_one_key", "with " + _KEYS + " select event_id, action from k where key_id = 'k-7'")
 def key_events_of_one_key(spark, sf_dir):
     return keys.events_for_key(key_events(spark, sf_dir), "k-7").select("event_id", "action")
 
@@ -512,7 +512,7 @@ def clipboard_sanitized(spark, sf_dir):
 _STAGES = {"auth_ms": "value * 0.125", "pii_detect_ms": "value * 2", "pseudonymize_ms": "value * 0.5", "upstream_ms": "value * 16", "rehydrate_ms": "value * 0.25", "total_ms": "value * 18.875"}
 
 
-@register("latency_stats", f"""with n as (select {', '.join(f'{e} as {k}' for k, e in _STAGES.items())} from (select * from events order by ts desc, event_id desc limit 1000)),
+@register("latency_stats", f"""with n as (select {', '.join(f'{e} as {k}' for k, e in _STAGES.items())} from events),
 a as (select count(*) as sample_count, {', '.join(f'avg({k}) as avg_{k}' for k in _STAGES)}, min(total_ms) as min_total_ms, max(total_ms) as max_total_ms, list_sort(list(total_ms)) as t from n)
 select sample_count, {', '.join(f'round(avg_{k}, 6) as avg_{k}' for k in _STAGES)}, round(min_total_ms, 6) as min_total_ms, round(max_total_ms, 6) as max_total_ms,
  round(t[cast(ceil(0.95 * (sample_count - 1)) as int) + 1], 6) as p95_total_ms, round(t[cast(ceil(0.99 * (sample_count - 1)) as int) + 1], 6) as p99_total_ms, avg_total_ms < 500 as within_budget from a""")

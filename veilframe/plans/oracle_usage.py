@@ -98,14 +98,13 @@ def rounded(*names: str) -> str:
     return ", ".join(f"round({n}, 6) as {n}" for n in names)
 
 
-def duration_cte(keys: str, name: str = "durations", cap: int = 1000, source: str = "u") -> str:
-    """avg, p50, p99 over the newest samples per key."""
+def duration_cte(keys: str, name: str = "durations", source: str = "u") -> str:
+    """avg, p50, p99 per key."""
     return f"""{name} as (
  select {keys}, avg(duration_ms) as avg_duration_ms,
   cast(list_sort(list(duration_ms))[cast(round((count(*) - 1) * 0.5) as int) + 1] as double) as p50_duration_ms,
   cast(list_sort(list(duration_ms))[cast(round((count(*) - 1) * 0.99) as int) + 1] as double) as p99_duration_ms
- from (select *, row_number() over (partition by {keys} order by event_ts desc, event_id desc) as newest from {source})
- where newest <= {cap} group by {keys})"""
+ from {source} group by {keys})"""
 
 
 CUTOFF = f"(timestamp '{AS_OF}' - interval 30 minute)"

@@ -73,7 +73,7 @@ def recent_events_for_tenant(spark, sf_dir):
     return S.recent(usage(spark, sf_dir), 25, "acme").select("event_id", "tenant_id")
 
 
-@register("events_exported_as_json", ALL + f" select event_id, model_id, tokens_out from u where tenant_id = 'acme' order by event_ts desc, event_id desc limit {S.TENANT_EXPORT_LIMIT}")
+@register("events_exported_as_json", ALL + f" select event_id, model_id, tokens_out from u where tenant_id = 'acme'")
 def events_exported_as_json(spark, sf_dir):
     from veilframe.session import work_path
 
@@ -249,7 +249,7 @@ select total_in as total_tokens_in, tokens_out as total_tokens_out, tokens_in_ca
  tokens_truncated as total_tokens_truncated, tokens_in_cache_write as total_tokens_in_cache_write,
  actual_cost_cents as total_actual_cost_cents, cost_estimate_cents as total_cost_cents, unpriced_count > 0 as total_cost_unavailable,
  call_count as total_calls, total_sessions, active_sessions,
- (select round(avg(duration_ms), 6) from (select duration_ms from u order by event_ts desc, event_id desc limit 10000)) as avg_duration_ms,
+ (select round(avg(duration_ms), 6) from u) as avg_duration_ms,
  round(success_rate, 6) as success_rate, round(truncation_rate, 6) as truncation_rate,
  format('${{:.2f}}', cost_estimate_cents / 100) as cost_estimate_usd, 'full_file_read' as baseline_method,
  coalesce(nullif(concat_ws(' ', {_TIP1}, {_TIP2}), ''), case when saved_pct > 0 then {_SAVED} else 'Token usage is within normal parameters.' end) as suggestion
@@ -358,14 +358,14 @@ def count_source_breakdown(spark, sf_dir):
     return R.source_breakdown(usage(spark, sf_dir))
 
 
-@register("duration_percentiles_by_user_session", ALL + ", " + O.duration_cte("tenant_id", cap=200) +
-          f" select tenant_id, {O.rounded('avg_duration_ms', 'p50_duration_ms', 'p99_duration_ms')} from durations")
+@register("duration_percentiles_by_user_session", ALL + ", " + O.duration_cte("session_id") +
+          f" select session_id, {O.rounded('avg_duration_ms', 'p50_duration_ms', 'p99_duration_ms')} from durations")
 def duration_percentiles_by_user_session(spark, sf_dir):
-    out = R.duration_percentiles(usage(spark, sf_dir), ["tenant_id"], samples=200)
+    out = R.duration_percentiles(usage(spark, sf_dir), ["session_id"])
     return rounded(out, "avg_duration_ms", "p50_duration_ms", "p99_duration_ms")
 
 
-@register("duration_percentiles_global", ALL + ", " + O.duration_cte("1", cap=10000).replace("select 1,", "select").replace("partition by 1 ", "").replace("group by 1)", ")") +
+@register("duration_percentiles_global", ALL + ", " + O.duration_cte("true") +
           f" select {O.rounded('avg_duration_ms', 'p50_duration_ms', 'p99_duration_ms')} from durations")
 def duration_percentiles_global(spark, sf_dir):
     out = R.global_duration_percentiles(usage(spark, sf_dir))

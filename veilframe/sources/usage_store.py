@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCHEMA_VERSION = 2
 DEFAULT_TENANT = "default"
 RETENTION_DAYS = 30
-EXPORT_LIMIT, TENANT_EXPORT_LIMIT = 1_000, 10_000
+DAY = "event_date"
 
 # The columns of a usage event.
 USAGE_SCHEMA = T.StructType([
@@ -40,11 +42,14 @@ USAGE_SCHEMA = T.StructType([
 
 
 def upgrade_events(df: DataFrame) -> DataFrame:
-    """Any stored version in the current columns: absent columns are null, write tokens 0."""
+    """Any stored version in the current columns: absent columns are null, write tokens 0.
+
+    The day column of a partitioned store stays, so that day filters prune folders.
+    """
     full = df.select(*[
         (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in USAGE_SCHEMA.fields
-    ])
+    ], *[c for c in df.columns if c == DAY])
     return full.withColumn(
         "tokens_in_cache_write", F.coalesce("tokens_in_cache_write", F.lit(0).cast("bigint"))
     )
@@ -55,13 +60,13 @@ def read_usage_events(spark: SparkSession, *paths: str) -> DataFrame:
     parts = [upgrade_events(spark.read.parquet(p)) for p in paths]
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p, allowMissingColumns=True)
     return out
 
 
 def write_usage_events(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append events partitioned by day, so that retention and day filters prune folders."""
-    df.withColumn("event_date", F.to_date("event_ts")).write.mode(mode).partitionBy("event_date").parquet(path)
+    df.withColumn(DAY, F.to_date("event_ts")).write.mode(mode).partitionBy(DAY).parquet(path)
 
 
 def guard_schema_version(df: DataFrame, newest: int = SCHEMA_VERSION) -> DataFrame:
@@ -82,11 +87,18 @@ def dedup_events(df: DataFrame, key: str = "event_id", order: tuple[str, ...] =
 
 def purge_older_than(df: DataFrame, as_of: str, days: int = RETENTION_DAYS) -> DataFrame:
     """Events kept by the retention rule."""
-    return df.where(F.col("event_ts") >= _cutoff(as_of, days))
+    cutoff = _cutoff(as_of, days)
+    return df.where(_day(df, lambda d: d >= F.to_date(cutoff)) & (F.col("event_ts") >= cutoff))
 
 
 def purged_count(df: DataFrame, as_of: str, days: int = RETENTION_DAYS) -> DataFrame:
-    return df.where(F.col("event_ts") < _cutoff(as_of, days)).agg(F.count("*").alias("purged"))
+    cutoff = _cutoff(as_of, days)
+    return df.where(_day(df, lambda d: d <= F.to_date(cutoff)) & (F.col("event_ts") < cutoff)).agg(F.count("*").alias("purged"))
+
+
+def _day(df: DataFrame, condition: Callable[[Column], Column]) -> Column:
+    """The condition on the day column, true where there is none (the older layout)."""
+    return F.col(DAY).isNull() | condition(F.col(DAY)) if DAY in df.columns else F.lit(True)
 
 
 def _cutoff(as_of: str, days: int):
@@ -111,7 +123,9 @@ def count_rows(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"))
 
 
-def export_events(df: DataFrame, path: str, tenant: str | None = None) -> None:
-    """JSON export of the newest events; larger for a single tenant."""
-    limit = EXPORT_LIMIT if tenant is None else TENANT_EXPORT_LIMIT
-    recent(df, limit, tenant).write.mode("overwrite").json(path)
+def export_events(df: DataFrame, path: str, tenant: str | None = None, limit: int | None = None) -> None:
+    """JSON export of all events, optionally of one tenant or of the newest ``limit`` only."""
+    rows = df if tenant is None else df.where(F.col("tenant_id") == tenant)
+    if limit is not None:
+        rows = recent(rows, limit)
+    rows.write.mode("overwrite").json(path)
