@@ -84,12 +84,12 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def chunks(at: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes; a longer text is a range of its own.
 
-    Memory that a range took is given back before the next one.
+    Memory that the ranges took is given back after the last one.
     """
     begin, rows = 0, len(at) - 1
     while begin < rows:
         end = int(np.searchsorted(at, at[begin] + most, side="right")) - 1
         end = min(max(end, begin + 1), rows)
         yield begin, end
-        release_memory()
         begin = end
+    release_memory()
