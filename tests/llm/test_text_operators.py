@@ -193,3 +193,22 @@ def test_repeated_rows_and_null_ids(spark):
     assert [r.n_removed for r in cut] == [90, 90, 90]
     found, _ = packing.pack(docs)
     assert found.select("task", "row").distinct().count() == 5
+
+
+@pytest.mark.parametrize("with_ids", [True, False])
+def test_a_full_piece_table_forgets_and_stays_right(with_ids):
+    from veilframe.llm.pieces import PieceTable, load_tokenizer
+
+    tokenizer = load_tokenizer("byte_bpe_50k.json")
+    table = PieceTable(tokenizer, with_ids, entries=60)
+    rng = random.Random(5)
+    for _ in range(40):
+        texts = [" ".join(f"the of and {rng.randrange(400)}x{rng.choice('abc')}" for _ in range(rng.randrange(6))) for _ in range(4)]
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+        counts, offsets, ids = table.texts(raw, at)
+        assert counts.tolist() == [len(w) for w in want]
+        if with_ids:
+            assert [ids[offsets[i] : offsets[i + 1]].tolist() for i in range(4)] == want
+    assert len(table.keys) < 200

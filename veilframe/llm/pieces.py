@@ -10,7 +10,7 @@ a whole, because such strings are matched before splitting.
 
 Pieces are compared by two 64-bit hashes and their length. A worker keeps what it has learnt, in
 a table of bounded size, and the library encodes only pieces that are not in the table, in batches
-balanced by bytes.
+balanced by bytes. A full table forgets the pieces that were not met again since the last time.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 
 from veilframe.llm.bytearrays import byte_prefix, separated, span_hash
 
-#: Entries of a worker's table; it starts anew when it has more.
+#: Entries of a worker's table; it forgets when it has more.
 TABLE_ENTRIES = 400_000
 #: Bytes of pieces that the library gets at once.
 BATCH_BYTES = 1 << 16
@@ -101,8 +101,22 @@ class PieceTable:
         self.keys = np.zeros(0, np.uint64)
         self.place = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
         self.ids = np.zeros(0, np.uint32)
 
+    def _forget(self) -> None:
+        """Keep only the pieces that were met again, or none if these fill over half the table."""
+        keep = np.flatnonzero(self.again)
+        if 2 * len(keep) > self.entries:
+            self._clear()
+            return
+        place, length = self.place[keep], self.length[keep]
+        self.keys, self.length, self.again = self.keys[keep], length, np.zeros(len(keep), bool)
+        self.place = np.zeros(len(keep), np.int64)
+        if self.with_ids:
+            self.place = np.cumsum(length) - length
+            self.ids = self.ids[np.repeat(place - self.place, length) + np.arange(int(length.sum()))]
+
     def encode(self, pieces: list[str]) -> list[list[int]]:
         """Ids of texts by the library, in batches balanced by bytes."""
         out: list[list[int]] = []
@@ -132,21 +146,28 @@ class PieceTable:
         self.keys = np.insert(self.keys, at, keys[order])
         self.place = np.insert(self.place, at, place[order])
         self.length = np.insert(self.length, at, length[order])
+        self.again = np.insert(self.again, at, False)
 
     def _find(self, keys: np.ndarray, piece: Callable[[int], str]) -> np.ndarray:
         """Entry of each distinct key; ``piece`` gives the text of the i-th."""
-        at = np.searchsorted(self.keys, keys)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == keys[known]
+        at, known = self._seek(keys)
+        self.again[at[known]] = True
         if not known.all():
+            if len(self.keys) + np.count_nonzero(~known) > self.entries:
+                self._forget()
+                _, known = self._seek(keys)
             missing = np.flatnonzero(~known)
-            if len(self.keys) + len(missing) > self.entries:
-                self._clear()
-                missing = np.arange(len(keys))
             self._learn(keys[missing], [piece(i) for i in missing])
             at = np.searchsorted(self.keys, keys)
         return at
 
+    def _seek(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key is or would be, and whether it is there."""
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        return at, known
+
     def texts(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """Tokens of each text, offsets of its ids, and all ids (None if only numbers are kept)."""
         text, begins = separated(raw, at, mark=10)
