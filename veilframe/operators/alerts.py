@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.columns import count_where, fixed, ratio
-from veilframe.operators.rollups import session_counters
+from veilframe.operators.rollups import counters, recount
 
 
 @dataclass(frozen=True)
@@ -111,6 +111,25 @@ def high_truncation_rate(daily: DataFrame, t: Thresholds = Thresholds()) -> Data
                                      t.high_truncation_rate)))
 
 
+def day_counters(df: DataFrame) -> DataFrame:
+    """Counters per session, tenant and day: all that the alerts need of the events."""
+    return df.groupBy("session_id", "tenant_id", F.to_date("event_ts").alias("date")).agg(*counters())
+
+
+def merge_day_counters(fine: DataFrame) -> DataFrame:
+    """Counter rows of several batches as one row per session, tenant and day."""
+    return fine.groupBy("session_id", "tenant_id", "date").agg(*recount())
+
+
+def alerts_of_counters(fine: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+    """Every alert of the counted events, global ones and per session."""
+    sessions = fine.groupBy("session_id", "tenant_id").agg(*recount())
+    daily = fine.groupBy("date").agg(
+        *[F.sum(c).alias(c) for c in ("cost_estimate_cents", "truncation_count", "call_count")])
+    parts = [daily_cost_spikes(daily, t), high_truncation_rate(daily, t), session_alerts(sessions, daily, t)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def daily_costs(df: DataFrame) -> DataFrame:
     return df.groupBy(F.to_date("event_ts").alias("date")).agg(
         F.sum("cost_estimate_cents").alias("cost_estimate_cents"),
@@ -121,6 +140,4 @@ def daily_costs(df: DataFrame) -> DataFrame:
 
 def all_alerts(df: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     """Every alert of the events, global ones and per session."""
-    sessions, daily = session_counters(df), daily_costs(df)
-    parts = [daily_cost_spikes(daily, t), high_truncation_rate(daily, t), session_alerts(sessions, daily, t)]
-    return reduce(DataFrame.unionByName, parts)
+    return alerts_of_counters(day_counters(df), t)

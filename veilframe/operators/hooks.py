@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,8 +68,10 @@ def model_scores(df: DataFrame, scorer: Callable[[pd.Series, str], pd.Series], r
 
     @F.pandas_udf("array<double>")
     def score_all(texts: pd.Series) -> pd.Series:
-        per_rule = [scorer(texts, r.text) for r in rules]
-        return pd.Series([[float(s.iloc[i]) for s in per_rule] for i in range(len(texts))])
+        if not rules:
+            return pd.Series([[] for _ in range(len(texts))])
+        scores = np.column_stack([np.asarray(scorer(texts, r.text), dtype="float64") for r in rules])
+        return pd.Series(list(scores))
 
     facts = F.array(*[F.struct(F.lit(r.index).alias("i"), F.lit(r.text).alias("t"), F.lit(r.action).alias("a")) for r in rules])
     text = F.col(text_col)

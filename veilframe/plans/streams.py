@@ -6,7 +6,6 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from veilframe.operators import alerts as A
 from veilframe.operators import detect as D
 from veilframe.operators import limits as L
 from veilframe.operators import pseudonymize as Z
@@ -20,25 +19,54 @@ from veilframe.plans import usage as UQ
 from veilframe.plans.fixtures import docs_pii, model_for, request_log, usage_raw
 from veilframe.plans.registry import register
 from veilframe.plans.usage import ts_text
-from veilframe.session import stream_table, work_path
-from veilframe.sources.usage_store import dedup_events, guard_schema_version
+from veilframe.session import table, work_path
 from veilframe.streaming import jobs as J
 from veilframe.streaming import state as S
 
 
-def _run(spark, df, label: str):
-    """Run a stream over all available data and read what it wrote."""
-    base = work_path(spark, label)
-    query = J.run_to_parquet(df, f"{base}/out", f"{base}/checkpoint")
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
+_SLICES = 3
+# Column that orders each table in time, and how far behind its end the closing row lies.
+_ORDER = {"events": ("unix_micros(ts)", 2 * 86_400_000_000), "conversations": ("conv_id", 24), "documents": ("doc_id", 0)}
+
+
+def _slices(spark, sf_dir, name: str, close: bool):
+    """A table cut into slices by time; then, if asked for, one late row that lets all windows close.
+
+    The closing row opens a window of its own, which never ends, so it is in no result.
+    """
+    rows = table(spark, sf_dir, name)
+    order, after = _ORDER[name]
+    low, high = rows.select(F.min(F.expr(order)), F.max(F.expr(order))).first()
+    number = F.floor((F.expr(order) - F.lit(low)) * _SLICES / F.lit(high - low + 1))
+    yield from (rows.where(number == i) for i in range(_SLICES))
+    if close:
+        late = {"ts": F.timestamp_micros(F.lit(high + after))} if name == "events" else {"conv_id": F.lit(high + after), "turn": F.lit(0)}
+        yield spark.range(1).select(*[late.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
 
 
-def _run_batches(spark, df, fn, schema, label: str):
+def _replay(spark, sf_dir, name: str, start, label: str, close: bool = False) -> str:
+    """Feed a table slice by slice to a stream that is started anew, from its checkpoint, for each.
+
+    ``start(source, base)`` starts the stream; ``source`` takes the place of ``table``.
+    """
     base = work_path(spark, label)
-    query = J.run_each_batch(df, fn, f"{base}/out", f"{base}/checkpoint")
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/out").drop("batch")
+    for part in _slices(spark, sf_dir, name, close):
+        part.write.mode("append").parquet(f"{base}/in")
+        start(lambda *_, schema=part.schema: spark.readStream.schema(schema).parquet(f"{base}/in"), base).awaitTermination()
+    return base
+
+
+def _run(spark, sf_dir, name: str, build, label: str, close: bool = False):
+    """Replay into a parquet sink and read what it wrote."""
+    schemas = []
+
+    def start(source, base):
+        out = build(source)
+        schemas.append(out.schema)
+        return J.run_to_parquet(out, f"{base}/out", f"{base}/checkpoint")
+
+    base = _replay(spark, sf_dir, name, start, label, close)
+    return spark.read.schema(schemas[0]).parquet(f"{base}/out")
 
 
 @contextmanager
@@ -52,52 +80,50 @@ def _rocksdb(spark):
         spark.conf.set(S.PROVIDER_SETTING, before)
 
 
-_CLOSED = "(select max(ts) - interval 10 minute from events)"
-
-
 @register("stream_ingested_events", UQ.RAW + " select distinct event_id, tokens_out from usage_raw where schema_version <= 2")
 def stream_ingested_events(spark, sf_dir):
-    out = J.ingest_events(usage_raw(spark, sf_dir, stream_table))
-    return _run(spark, out, "ingest").select("event_id", "tokens_out")
+    out = _run(spark, sf_dir, "events", lambda source: J.ingest_events(usage_raw(spark, sf_dir, source)), "ingest")
+    return out.select("event_id", "tokens_out")
 
 
-@register("stream_daily_counters", "with " + ",\n".join([U.USAGE_RAW, U.PRICES_CTE, U.priced_models_cte(), U.priced_cte()]) + f"""
+@register("stream_daily_counters", "with " + ",\n".join([U.USAGE_RAW, U.PRICES_CTE, U.priced_models_cte(), U.priced_cte()]) + """
 select strftime(date_trunc('day', event_ts), '%Y-%m-%d %H:%M:%S') as window_start, tool_name, model_id, count(*) as call_count, cast(sum(tokens_out) as bigint) as tokens_out,
  cast(sum(cost_estimate_cents) as bigint) as cost_estimate_cents, count(*) filter (success) as success_count
-from priced where date_trunc('day', event_ts) + interval 1 day <= {_CLOSED} group by all""")
+from priced group by all""")
 def stream_daily_counters(spark, sf_dir):
-    events = with_cost(usage_raw(spark, sf_dir, stream_table))
-    out = _run(spark, J.running_counters(events, "tool_name", "model_id"), "counters")
-    return out.withColumn("window_start", ts_text("window_start"))
+    build = lambda source: J.running_counters(with_cost(usage_raw(spark, sf_dir, source)), "tool_name", "model_id")
+    return _run(spark, sf_dir, "events", build, "counters", close=True).withColumn("window_start", ts_text("window_start"))
 
 
-@register("stream_closed_sessions", f"""select * from ({GW.SESSIONIZE_SQL.replace("strftime(max(ts), '%Y-%m-%d %H:%M:%S') as session_last", "strftime(max(ts), '%Y-%m-%d %H:%M:%S') as session_last, max(ts) as l")})
-where l + interval 30 minute <= {_CLOSED}""".replace("select * from (", "select * exclude (l) from (", 1))
+@register("stream_closed_sessions", GW.SESSIONIZE_SQL)
 def stream_closed_sessions(spark, sf_dir):
-    out = _run(spark, J.closing_sessions(stream_table(spark, sf_dir, "events"), "user_id"), "sessions")
+    build = lambda source: J.closing_sessions(source(spark, sf_dir, "events"), "user_id")
+    out = _run(spark, sf_dir, "events", build, "sessions", close=True)
     return out.select("user_id", ts_text("session_start"), ts_text("session_last"), "events")
 
 
-@register("stream_sliding_usage", f"""with s as (select user_id % 20 as client, unnest(range(4)) as k, date_trunc('minute', ts) as m from events),
+@register("stream_sliding_usage", """with s as (select user_id % 20 as client, unnest(range(4)) as k, date_trunc('minute', ts) as m from events),
 w as (select client, time_bucket(interval 15 minute, m) - k * interval 15 minute as window_start from s)
-select client, strftime(window_start, '%Y-%m-%d %H:%M:%S') as window_start, count(*) as requests from w where window_start + interval 1 hour <= {_CLOSED} group by all""")
+select client, strftime(window_start, '%Y-%m-%d %H:%M:%S') as window_start, count(*) as requests from w group by all""")
 def stream_sliding_usage(spark, sf_dir):
-    events = stream_table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("client"), "ts")
-    out = _run(spark, J.sliding_usage(events, "client", slide="15 minutes"), "sliding")
+    def build(source):
+        events = source(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("client"), "ts")
+        return J.sliding_usage(events, "client", slide="15 minutes")
+
+    out = _run(spark, sf_dir, "events", build, "sliding", close=True)
     return out.select("client", ts_text("window_start"), "requests")
 
 
 @register("stream_document_scan", "with " + ",\n".join([O.docs_pii_cte(), O.found_cte(), O.resolved_cte(), O.token_ctes()]) + """
 select doc_id, pii_type, count(*) as n, sanitized from resolved join sanitized using (doc_id) group by all""")
 def stream_document_scan(spark, sf_dir):
-    done = D.entity_counts(Z.sanitize(docs_pii(spark, sf_dir, stream_table)))
-    out = _run(spark, done.select("doc_id", "sanitized", "entity_types"), "scan")
+    build = lambda source: D.entity_counts(Z.sanitize(docs_pii(spark, sf_dir, source))).select("doc_id", "sanitized", "entity_types")
+    out = _run(spark, sf_dir, "documents", build, "scan")
     return D.explode_counts(out, "doc_id", "sanitized")
 
 
-def _chunk_stream(spark, sf_dir):
+def _chunk_stream(c):
     """One chunk per conversation turn: text, usage every third turn, an end marker."""
-    c = stream_table(spark, sf_dir, "conversations")
     t = F.col("turn")
     data = (
         F.when(t % 3 == 2, F.concat(F.lit('data: {"usage":{"prompt_tokens":'), t.cast("string"), F.lit("}}")))
@@ -110,9 +136,10 @@ def _chunk_stream(spark, sf_dir):
 
 
 @register("stream_closed_responses", """select conv_id as stream_id, max(turn) filter (turn % 3 = 2) as last_usage_turn, count(*) as chunk_count, coalesce(bool_or(turn = 4), false) as ended
-from conversations where conv_id < (select max(conv_id) from conversations) group by conv_id""")
+from conversations group by conv_id""")
 def stream_closed_responses(spark, sf_dir):
-    out = _run(spark, J.closing_streams(_chunk_stream(spark, sf_dir)), "responses")
+    build = lambda source: J.closing_streams(_chunk_stream(source(spark, sf_dir, "conversations")))
+    out = _run(spark, sf_dir, "conversations", build, "responses", close=True)
     turn = F.regexp_extract("last_usage", r'prompt_tokens":(\d+)', 1)
     return out.select("stream_id", turn.try_cast("bigint").alias("last_usage_turn"), "chunk_count", "ended")
 
@@ -124,17 +151,20 @@ def stream_rehydrated_chunks(spark, sf_dir):
 
     tokens = _stream_tokens(spark, sf_dir)
     fill = lambda batch: H.rehydrate_sse(batch, tokens, ["stream_id", "seq"]).select("stream_id", "seq", "rehydrated")
-    return _run_batches(spark, _chunk_stream(spark, sf_dir), fill, "stream_id bigint, seq bigint, rehydrated string", "chunks")
+    start = lambda source, base: J.run_each_batch(
+        _chunk_stream(source(spark, sf_dir, "conversations")), fill, f"{base}/out", f"{base}/checkpoint")
+    base = _replay(spark, sf_dir, "conversations", start, "chunks")
+    return spark.read.schema("stream_id bigint, seq bigint, rehydrated string").parquet(f"{base}/out").drop("batch")
 
 
 @register("stream_alerts", UQ._ALERT_CTES + " union all ".join(f"select * from ({j})" for j in (UQ._J1, UQ._J2, UQ._J3, UQ._J4, UQ._J5)))
 def stream_alerts(spark, sf_dir):
-    def check(batch):
-        return A.all_alerts(minute_truncate(dedup_events(guard_schema_version(batch))), UQ._T)
+    def start(source, base):
+        events = minute_truncate(J.ingest_events(with_cost(usage_raw(spark, sf_dir, source))))
+        return J.run_alerts(events, f"{base}/out", f"{base}/checkpoint", UQ._T)
 
-    schema = "severity string, alert_type string, message string, session_id string, current_value double, threshold double"
-    out = _run_batches(spark, with_cost(usage_raw(spark, sf_dir, stream_table)), check, schema, "alerts")
-    return out.withColumn("current_value", F.round("current_value", 6))
+    base = _replay(spark, sf_dir, "events", start, "alerts")
+    return J.latest_alerts(spark, f"{base}/out").withColumn("current_value", F.round("current_value", 6))
 
 
 @register("stream_token_lifetime", """with a as (select event_id as row_id, 's-' || (user_id % 40) as session_id, '[EMAIL_ADDRESS_' || (user_id % 3) || ']' as token, ts, event_type = 'click' as adds from events),
@@ -144,17 +174,20 @@ g as (select *, sum(case when near then 0 else 1 end) over (partition by session
 h as (select *, last_value(case when adds then row_id end ignore nulls) over (partition by session_id, token, run order by ts, row_id rows unbounded preceding) as live from g)
 select row_id, session_id, token, case when live is not null then 'user' || live || '@example.com' end as found from h""")
 def stream_token_lifetime(spark, sf_dir):
-    e = stream_table(spark, sf_dir, "events")
-    accesses = e.select(
-        F.concat(F.lit("s-"), (F.col("user_id") % 40).cast("string")).alias("session_id"),
-        F.concat(F.lit("[EMAIL_ADDRESS_"), (F.col("user_id") % 3).cast("string"), F.lit("]")).alias("token"),
-        F.when(F.col("event_type") == "click", F.concat(F.lit("user"), F.col("event_id").cast("string"), F.lit("@example.com"))).alias("original"),
-        "ts", F.col("event_id").alias("row_id"))
+    def build(source):
+        e = source(spark, sf_dir, "events")
+        return S.token_lookups(e.select(
+            F.concat(F.lit("s-"), (F.col("user_id") % 40).cast("string")).alias("session_id"),
+            F.concat(F.lit("[EMAIL_ADDRESS_"), (F.col("user_id") % 3).cast("string"), F.lit("]")).alias("token"),
+            F.when(F.col("event_type") == "click", F.concat(F.lit("user"), F.col("event_id").cast("string"), F.lit("@example.com"))).alias("original"),
+            "ts", F.col("event_id").alias("row_id")))
+
     with _rocksdb(spark):
-        return _run(spark, S.token_lookups(accesses), "lifetime")
+        return _run(spark, sf_dir, "events", build, "lifetime")
 
 
 @register("stream_rate_limit_decisions", GW._walk_sql("client_id", GW._LOG, 2, 38).replace("select event_id, client_id, decision from walk", "select event_id as row_id, client_id, decision from walk"))
 def stream_rate_limit_decisions(spark, sf_dir):
+    build = lambda source: S.rate_limit_stream(request_log(spark, sf_dir, source), L.Limits(2, 38))
     with _rocksdb(spark):
-        return _run(spark, S.rate_limit_stream(request_log(spark, sf_dir, stream_table), L.Limits(2, 38)), "limits")
+        return _run(spark, sf_dir, "events", build, "limits")

@@ -31,16 +31,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as a stream of files (one file or a folder of files)."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    df = spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
-    for field in schema.fields:
-        if isinstance(field.dataType, T.TimestampNTZType):
-            df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-    return df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and written intermediates.
 
@@ -63,12 +53,3 @@ def shared_folder(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()

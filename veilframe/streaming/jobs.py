@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veilframe.functions.columns import count_where
+from veilframe.operators.alerts import Thresholds, alerts_of_counters, day_counters, merge_day_counters
 from veilframe.sources.usage_store import guard_schema_version
 
 WATERMARK = "10 minutes"
@@ -81,3 +82,30 @@ def run_each_batch(df: DataFrame, fn: Callable[[DataFrame], DataFrame], path: st
 
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def run_alerts(events: DataFrame, path: str, checkpoint: str, t: Thresholds = Thresholds(), **trigger) -> StreamingQuery:
+    """Alerts over everything seen so far, renewed with every micro-batch.
+
+    ``events`` are priced and free of duplicates (``ingest_events``). A batch adds its counters to
+    those of the batch before and judges the sums, so the way events fall into batches does
+    not matter. Counters and alerts of a batch have their own folders, which a repeated
+    batch overwrites.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, state = batch.sparkSession, f"{path}/state/batch={batch_id}"
+        fine = day_counters(batch)
+        if batch_id > 0:
+            fine = merge_day_counters(fine.unionByName(spark.read.parquet(f"{path}/state/batch={batch_id - 1}")))
+        fine.write.mode("overwrite").parquet(state)
+        alerts_of_counters(spark.read.parquet(state), t).write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The alerts of the last batch; counters never shrink, so their last folder names it."""
+    last = spark.read.parquet(f"{path}/state").agg(F.max("batch")).scalar()
+    return spark.read.parquet(f"{path}/alerts").where(F.col("batch") == last).drop("batch")

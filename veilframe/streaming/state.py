@@ -5,6 +5,7 @@ State ends in event time: a timer per key clears it once the watermark has passe
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from typing import Any
 
@@ -93,19 +94,24 @@ class RateDecisions(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "row_id"], kind="stable")
-        recent = [row[0] for row in self.accepted.get()]
-        decisions = []
+        hour = deque(row[0] for row in self.accepted.get())
+        minute, decisions = deque(hour), []
         for us in batch["us"]:
-            recent = [t for t in recent if t > us - HOUR]
-            if sum(t > us - MINUTE for t in recent) >= self.limits.per_minute:
+            while hour and hour[0] <= us - HOUR:
+                hour.popleft()
+            while minute and minute[0] <= us - MINUTE:
+                minute.popleft()
+            if len(minute) >= self.limits.per_minute:
                 decisions.append(DENIED_MINUTE)
-            elif len(recent) >= self.limits.per_hour:
+            elif len(hour) >= self.limits.per_hour:
                 decisions.append(DENIED_HOUR)
             else:
                 decisions.append(ALLOWED)
-                recent.append(int(us))
-        self.accepted.put([(t,) for t in recent])
-        _rearm(self.handle, recent[-1] + HOUR)
+                hour.append(int(us))
+                minute.append(int(us))
+        self.accepted.put([(t,) for t in hour])
+        if hour:
+            _rearm(self.handle, hour[-1] + HOUR)
         yield pd.DataFrame({"client_id": key[0], "row_id": batch["row_id"].to_numpy(), "decision": decisions})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
