@@ -96,3 +96,53 @@ def test_logs_and_exports_have_no_hidden_bound(spark, tmp_path):
     events = S.upgrade_events(rows.selectExpr("event_id", "timestamp as event_ts", "'acme' as tenant_id"))
     S.export_events(events, str(tmp_path / "all"), "acme")
     assert spark.read.json(str(tmp_path / "all")).count() == 12_000
+
+
+def test_patterns_are_checked_by_the_engine_that_runs_them(spark):
+    from veilframe.sources import rule_lists as L
+
+    rows = [("1", r"\p{Lu}\d+", "names"), ("2", r"(?P<n>x)", "python only"), ("3", "(", "broken"), ("4", "  ", "blank"), ("5", "a" * 501, "long")]
+    rules = spark.createDataFrame(rows, "id string, pattern string, label string").selectExpr("*", "'deny' as list", "true as enabled", "'' as created_at")
+    good, bad = L.load_patterns(L.validate_rules(rules), "deny")
+    assert good == [r"\p{Lu}\d+"] and [p for p, _ in bad] == ["(?P<n>x)", "("]
+    assert {r.id: r.reason for r in L.rejected_rules(rules).collect()} == {"4": "blank pattern", "5": "pattern too long"}
+
+
+def test_rules_from_a_table(spark):
+    from veilframe.operators import policy as P
+
+    docs = spark.createDataFrame(
+        [(1, "Discard the API  Key, api keys and Cards"), (2, None), (3, ""), (4, "É é \\E 日本語 " * 300)], "id int, text string")
+    rules = spark.createDataFrame(
+        [(0, "api key", "block"), (1, "card", "warn"), (2, " ", "warn"), (3, "é", "warn"), (4, "\\E", "warn"), (5, "本", "warn"), (6, None, "warn")]
+        + [(100 + i, f"rule number {i}", "warn") for i in range(3000)], "rule_index int, rule_text string, action string")
+    got = [tuple(r) for r in P.lint_with_table(docs, rules, "id", "text").collect()]
+    wanted = []
+    for d in docs.collect():
+        for r in rules.collect():
+            low, t = (d.text or "").lower(), (r.rule_text or "").strip() and r.rule_text.lower()
+            at = low.find(t) if t else -1
+            while at >= 0:
+                wanted.append((d.id, r.rule_index, r.rule_text, r.action, d.text[at:at + len(t)], at, at + len(t), 1.0))
+                at = low.find(t, at + len(t))
+    assert sorted(got) == sorted(wanted) and len(wanted) > 1200
+    few, many = (P.lint_with_table(docs, rules.where(c), "id", "text")._jdf.queryExecution().optimizedPlan().toString() for c in ("rule_index < 9", "true"))
+    assert abs(len(few) - len(many)) < 500
+
+
+def test_alerts_do_not_depend_on_the_batches(spark, tmp_path):
+    from veilframe.operators import alerts as A
+    from veilframe.streaming import jobs as J
+
+    rows = spark.range(600).selectExpr(
+        "concat('s', id % 7) as session_id", "concat('t', id % 2) as tenant_id", "timestamp_seconds(id * 900) as event_ts", "id % 97 as cost_estimate_cents",
+        *[f"id as {c}" for c in ("tokens_in_system", "tokens_in_user", "tokens_in_cached", "tokens_out", "tokens_in_cache_write", "actual_cost_cents")],
+        "if(id % 5 = 0, 3L, 0L) as tokens_truncated", "true as success", "cast(id % 3 as int) as retry_attempt", "false as was_partial", "false as cost_unavailable")
+    t = A.Thresholds(1.1, 1_000, 0.2, 4_000, 0.1)
+    for i in range(4):
+        rows.where(f"cast(event_ts as long) div 900 % 4 = {i}").write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        J.run_alerts(source, str(tmp_path / "out"), str(tmp_path / "checkpoint"), t).awaitTermination()
+    got = J.latest_alerts(spark, str(tmp_path / "out")).collect()
+    wanted = A.all_alerts(rows, t).collect()
+    assert len({r.alert_type for r in wanted}) >= 4 and sorted(map(str, got)) == sorted(map(str, wanted))

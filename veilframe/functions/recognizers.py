@@ -8,11 +8,11 @@ A pattern only scans a text that passes its conditions.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 
 from veilframe.functions.checks import iban_ok, luhn_ok
 
@@ -289,10 +289,12 @@ def recognizer_for(pii_type: str) -> Recognizer:
     return next(r for r in RECOGNIZERS if r.pii_type == pii_type)
 
 
-def valid_pattern(pattern: str) -> bool:
-    """Cheap driver-side syntax check for hand-written rules."""
+def pattern_error(spark: SparkSession, pattern: str | None) -> str | None:
+    """What is wrong with a hand-written pattern for the engine that runs it; null if nothing."""
+    if pattern is None:
+        return "no pattern"
     try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
+        spark.sql("select '' rlike :p", args={"p": "(?U)" + pattern}).collect()
+    except PySparkException as error:
+        return str(error).splitlines()[0]
+    return None

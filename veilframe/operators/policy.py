@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.columns import count_where, pinned
@@ -66,10 +66,14 @@ def add_missing_defaults(rules: DataFrame, defaults: DataFrame) -> DataFrame:
 
 
 def load_rules(rules: DataFrame) -> list[Rule]:
-    """Enabled rules as plan constants, indexed in table order."""
-    rows = enabled_rules(rules).limit(MAX_RULES + 1).collect()
+    """Enabled rules as plan constants, by ``rule_index`` where the table has it, else by text.
+
+    For tables that grow there is ``lint_with_table``.
+    """
+    order = [c for c in ("rule_index", "rule_text", "action") if c in rules.columns]
+    rows = enabled_rules(rules).orderBy(*order).limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} policy rules")
+        raise ValueError(f"more than {MAX_RULES} policy rules: use lint_with_table")
     return [Rule(i, r["rule_text"], r["action"]) for i, r in enumerate(rows)]
 
 
@@ -117,6 +121,59 @@ def lint(df: DataFrame, rules: Sequence[Rule], text_col: str = "user_text", scor
     return pinned(step, {"violations": kept}).drop("__lower")
 
 
+_GRAM = 3
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"\s+")), lambda w: w != "")
+
+
+def _literal(text: Column) -> Column:
+    """Pattern that finds a text case-blind."""
+    return F.concat(F.lit("(?iu)\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def _anchored(rules: DataFrame) -> DataFrame:
+    """Each rule with its anchor: of the first grams of its words, the one that fewest rules have."""
+    grams = rules.select("rule_index", F.explode(F.array_distinct(
+        F.transform(_words(F.col("rule_text")), lambda w: F.substring(w, 1, _GRAM)))).alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    best = grams.join(shared, "gram").groupBy("rule_index").agg(F.min(F.struct((-F.length("gram")).alias("l"), "n", "gram")).alias("best"))
+    return rules.join(best.select("rule_index", F.col("best.gram").alias("gram")), "rule_index")
+
+
+def lint_with_table(df: DataFrame, rules: DataFrame, key: str, text_col: str = "user_text") -> DataFrame:
+    """Violation rows of texts against a table of rules; the plan is the same for any number of rules.
+
+    ``rules``: rule_index, rule_text, action (enabled ones; blank texts match nothing); ``key`` is
+    unique. A phrase can only stand in a text that has each of its words inside a word, so
+    texts and rules meet on a short gram of a word. Only the (key, rule) pairs found travel
+    to the texts, where the phrase is verified and located. Null texts have no violations.
+    """
+    rules = rules.select("rule_index", "rule_text", "action")
+    texts = df.select(F.col(key).alias("__key"), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
+    # The characters from every place to the next two, read in one pass, and their beginnings.
+    ahead = F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(rf"(?=(\S{{1,{_GRAM}}}))"), F.lit(1)))
+    held = texts.select("__key", F.explode(ahead).alias("g"))
+    held = held.select("__key", F.explode(F.transform(F.sequence(F.lit(1), F.length("g")), lambda n: F.substring("g", F.lit(1), n))).alias("gram"))
+    anchors = _anchored(rules)
+    # Grams without a rule go before anything is grouped.
+    held = held.join(anchors.select("gram").distinct(), "gram", "left_semi").distinct()
+    pairs = held.join(anchors, "gram").select("__key", "rule_index", "rule_text", "action")
+    met = texts.join(pairs, "__key").where(F.contains(F.lower("__text"), F.lower("rule_text")))
+    pattern = _literal(F.col("rule_text"))
+    pieces = F.arrays_zip(
+        F.regexp_extract_all("__text", pattern, F.lit(0)).alias("m"), F.split(F.col("__text"), pattern, -1).alias("g"))
+    row = met.select("__key", "rule_index", "rule_text", "action", F.posexplode(pieces).alias("i", "p"))
+    # Running lengths inside one text and rule give the places.
+    done = Window.partitionBy("__key", "rule_index").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.length("p.g") + F.coalesce(F.length("p.m"), F.lit(0))).over(done).cast("int")
+    found = row.withColumn("end", end).where(F.col("p.m").isNotNull())
+    return found.select(
+        F.col("__key").alias(key), "rule_index", "rule_text", "action", F.col("p.m").alias("token_text"),
+        (F.col("end") - F.length("p.m")).alias("start"), "end", F.lit(1.0).alias("score"))
+
+
 def violation_rows(df: DataFrame, *keys: str) -> DataFrame:
     rows = df.select(*keys, F.explode_outer("violations").alias("v")).where(F.col("v.rule_index").isNotNull())
     return rows.select(*keys, "v.*")

@@ -122,6 +122,21 @@ def policy_violations(spark, sf_dir):
     return policy.violation_rows(_linted(spark, sf_dir), "doc_id")
 
 
+# Every twentieth part gives the end of its name with the start of its type, the others a rule of their own.
+_PART_RULES = """rules(i, rule_text, action) as (select min(p_partkey), t, case when min(p_partkey) % 3 = 0 then 'block' else 'warn' end from (
+ select p_partkey, case when p_partkey % 20 = 0 then right(p_name, 2) || ' ' || substr(p_type, 1, 1 + cast(p_partkey // 20 % 2 as int)) else p_brand || ' ' || p_partkey end as t from part) group by t)"""
+
+
+@register("lint_from_table", "with " + ",\n".join([O.docs_pii_cte(), _PART_RULES, _LINT.format(docs="docs_pii")]) +
+          " select doc_id, rule_index, rule_text, action, token_text, start, cast(start + length(token_text) as int) as \"end\", 1.0::double as score from violations")
+def lint_from_table(spark, sf_dir):
+    text = F.expr("""if(p_partkey % 20 = 0, concat(right(p_name, 2), ' ', substring(p_type, 1, cast(1 + floor(p_partkey / 20) % 2 as int))),
+        concat(p_brand, ' ', p_partkey))""")
+    rules = table(spark, sf_dir, "part").groupBy(text.alias("rule_text")).agg(F.min("p_partkey").alias("rule_index"))
+    rules = rules.withColumn("action", F.when(F.col("rule_index") % 3 == 0, "block").otherwise("warn"))
+    return policy.lint_with_table(docs_pii(spark, sf_dir), rules, "doc_id", "text")
+
+
 _REQUEST_LINT = _BODY_TOKENS + ",\n" + """user_sanitized as (
  select p.conv_id as doc_id, string_agg(t.sanitized, chr(10) order by p.turn, p.part) as text from (select distinct conv_id from conversations) c
  join parts p using (conv_id) join part_tokens t using (conv_id, turn, part) where p.role = 'user' and t.sanitized <> '' group by p.conv_id)"""
@@ -185,12 +200,12 @@ def recent_policy_events(spark, sf_dir):
 
 
 @register("policy_events_csv", _EVENTS + """ select strftime(timestamp '2024-01-01' + doc_id * interval 1 minute, '%Y-%m-%dT%H:%M:%SZ') as timestamp,
- case when doc_id % 3 <> 0 then 's "' || doc_id || '"' else '' end as session_id, rule_text, token_text, cast(start as varchar) as start, '1.0' as score, cast(action = 'block' as varchar) as blocked from violations""")
+ case when doc_id % 3 <> 0 then 's "' || doc_id || '"' else '' end as session_id, rule_text, action, token_text, cast(start as varchar) as start, cast(start + length(token_text) as varchar) as "end", '1.0' as score, cast(action = 'block' as varchar) as blocked from violations""")
 def policy_events_csv(spark, sf_dir):
     path = work_path(spark, "policy-csv")
     A.export_policy_csv(_policy_events(spark, sf_dir), path)
     back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
-    return back.select("timestamp", F.coalesce("session_id", F.lit("")).alias("session_id"), "rule_text", "token_text", "start", "score", "blocked")
+    return back.select("timestamp", F.coalesce("session_id", F.lit("")).alias("session_id"), "rule_text", "action", "token_text", "start", "end", "score", "blocked")
 
 
 # ── routing ─────────────────────────────────────────────────────────────────
@@ -367,19 +382,21 @@ def audit_rows_decoded(spark, sf_dir):
         F.array_join("tokens_generated", ";").alias("tokens"))
 
 
-@register("audit_csv", _AUDIT + """select id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as timestamp, session_id, provider, model, cast(total_entities as varchar) as total_entities, cast(streaming as varchar) as streaming, entity_types from audit""")
+@register("audit_csv", _AUDIT + """select id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') as timestamp, session_id, provider, model, cast(total_entities as varchar) as total_entities, cast(streaming as varchar) as streaming, entity_types, coalesce(array_to_string(tokens, ';'), '') as tokens from audit""")
 def audit_csv(spark, sf_dir):
     path = work_path(spark, "audit-csv")
     A.export_audit_csv(_audit(spark, sf_dir), path)
-    back = spark.read.option("header", True).option("escape", '"').csv(path).drop("tokens")
-    return back.withColumn("entity_types", F.coalesce("entity_types", F.lit("")))
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    tokens = F.array_join(F.array_sort(F.split("tokens", ";")), ";")
+    return back.withColumns({"entity_types": F.coalesce("entity_types", F.lit("")), "tokens": F.coalesce(tokens, F.lit(""))})
 
 
-@register("audit_json", _AUDIT + "select id, total_entities from audit")
+@register("audit_json", _AUDIT + _FLAT)
 def audit_json(spark, sf_dir):
     path = work_path(spark, "audit-json")
-    A.export_audit_json(_audit(spark, sf_dir), path)
-    return spark.read.schema("id string, total_entities bigint").json(path)
+    entries = _audit(spark, sf_dir)
+    A.export_audit_json(entries, path)
+    return _flat(spark.read.schema(entries.schema).json(path))
 
 
 @register("audit_stats", _AUDIT + "select count(*) as total_requests, cast(coalesce(sum(total_entities), 0) as bigint) as total_entities from audit")

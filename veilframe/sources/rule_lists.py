@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.functions.recognizers import valid_pattern
+from veilframe.functions.recognizers import pattern_error
 
 PATTERN_MAX, LABEL_MAX = 500, 200
 # Lists are written by hand and become part of the plan; a larger one is refused, not cut.
@@ -35,22 +35,42 @@ def write_rule_lists(rules: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").json(path)
 
 
-def validate_rules(rules: DataFrame) -> DataFrame:
-    """Trimmed rules with a usable pattern and label.
-
-    Lengths are bytes. Pattern syntax is checked when a list is loaded (``rule_patterns``).
-    """
+def _checked(rules: DataFrame) -> DataFrame:
+    """Trimmed rules with the reason against them, null for usable ones. Lengths are bytes."""
     pattern = F.trim("pattern")
     label = F.coalesce(F.nullif(F.trim("label"), F.lit("")), pattern)
-    fixed = rules.withColumns({"pattern": pattern, "label": label})
-    return fixed.where(
-        (F.col("pattern") != "") & (F.octet_length("pattern") <= PATTERN_MAX) & (F.octet_length("label") <= LABEL_MAX)
+    reason = (
+        F.when(F.coalesce(F.col("pattern"), F.lit("")) == "", "blank pattern")
+        .when(F.octet_length("pattern") > PATTERN_MAX, "pattern too long")
+        .when(F.octet_length("label") > LABEL_MAX, "label too long")
     )
+    return rules.withColumns({"pattern": pattern, "label": label}).withColumn("reason", reason)
 
 
-def rule_patterns(rules: DataFrame, name: str) -> list[str]:
-    """Enabled patterns of a list in order, for ``detect(allow=..., deny=...)``; bad syntax is skipped."""
-    rows = rules.where((F.col("list") == name) & F.col("enabled")).select("pattern").limit(MAX_RULES + 1).collect()
+def validate_rules(rules: DataFrame) -> DataFrame:
+    """Trimmed rules with a usable pattern and label; the others are in ``rejected_rules``.
+
+    Pattern syntax is checked when a list is loaded (``rule_patterns``).
+    """
+    return _checked(rules).where(F.col("reason").isNull()).drop("reason")
+
+
+def rejected_rules(rules: DataFrame) -> DataFrame:
+    """Rules that ``validate_rules`` leaves out, with the ``reason``."""
+    return _checked(rules).where(F.col("reason").isNotNull())
+
+
+def load_patterns(rules: DataFrame, name: str) -> tuple[list[str], list[tuple[str, str]]]:
+    """Enabled patterns of a list by age and id, and those with bad syntax with the message."""
+    order = [c for c in ("created_at", "id", "pattern") if c in rules.columns]
+    rows = rules.where((F.col("list") == name) & F.col("enabled")).orderBy(*order).select("pattern").limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules in the {name}list")
-    return [r["pattern"] for r in rows if valid_pattern(r["pattern"])]
+    errors = {r["pattern"]: pattern_error(rules.sparkSession, r["pattern"]) for r in rows}
+    good = [r["pattern"] for r in rows if errors[r["pattern"]] is None]
+    return good, [(p, e) for p, e in errors.items() if e is not None]
+
+
+def rule_patterns(rules: DataFrame, name: str) -> list[str]:
+    """Enabled patterns of a list in order, for ``detect(allow=..., deny=...)``."""
+    return load_patterns(rules, name)[0]
