@@ -134,11 +134,12 @@ def _literal(text: Column) -> Column:
 
 
 def _anchored(rules: DataFrame) -> DataFrame:
-    """Each rule with its anchor: of the first grams of its words, the one that fewest rules have."""
+    """Each rule with its anchor: of the first grams of its words, not a single character if possible, the one that fewest rules have."""
     grams = rules.select("rule_index", F.explode(F.array_distinct(
         F.transform(_words(F.col("rule_text")), lambda w: F.substring(w, 1, _GRAM)))).alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    best = grams.join(shared, "gram").groupBy("rule_index").agg(F.min(F.struct((-F.length("gram")).alias("l"), "n", "gram")).alias("best"))
+    best = grams.join(shared, "gram").groupBy("rule_index").agg(F.min(
+        F.struct((F.length("gram") == 1).alias("short"), "n", (-F.length("gram")).alias("l"), "gram")).alias("best"))
     return rules.join(best.select("rule_index", F.col("best.gram").alias("gram")), "rule_index")
 
 
