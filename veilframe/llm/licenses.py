@@ -1,8 +1,10 @@
 """License texts by exact set-similarity join with templates.
 
-Base phrases are found where their words stand consecutively. Beyond that, every line of a text
-(longer lines in overlapping blocks of words) is a set of words, and a template is found in a block
-that contains at least ``CONTAINMENT`` of the template's distinct words.
+Base phrases are found where their words stand consecutively. Beyond that, the running words of a
+text are cut into overlapping blocks, across line ends, each block is a set of words, and a template
+is found in a block that contains at least ``CONTAINMENT`` of the template's distinct words. Blocks
+have at least twice the words of the longest template, so that each notice lies in one whole. Lines
+longer than half a block are judged by themselves as well.
 
 The join is exact. Words of templates are ordered by how many texts of the whole corpus have them,
 rarest first. A block that contains enough of a template must share one of the template's first
@@ -44,7 +46,7 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under cc by nc 4 0"),
 ]
 CONTAINMENT = 0.8
-#: Lines of more words than this are cut into blocks of so many words, each starting half a block later.
+#: Texts of more words than this are cut into blocks of so many words, each starting half a block later; more for long templates.
 BLOCK_WORDS = 128
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -70,19 +72,24 @@ def _blocks(text: Column, vocabulary: Column, size: int) -> Column:
     """Template words of each block of a text."""
     step = size // 2
 
-    def of_line(line: Column) -> Column:
-        words = F.filter(F.split(F.translate(flat_words(line), _UPPER, _LOWER), " "), lambda w: w != "")
+    def words_of(part: Column) -> Column:
+        return F.filter(F.split(F.translate(flat_words(part), _UPPER, _LOWER), " "), lambda w: w != "")
+
+    def cut(words: Column) -> Column:
         return let(words, lambda w: F.when(F.size(w) <= size, F.array(w)).otherwise(
             F.transform(F.sequence(F.lit(0), F.size(w) - step, F.lit(step)), lambda i: F.slice(w, i + 1, F.lit(size)))
         ))
 
-    lines = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), of_line))
-    return F.transform(lines, lambda b: F.array_intersect(b, vocabulary))
+    # A shorter line lies in a block of the running words.
+    long_lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), words_of), lambda w: F.size(w) > step)
+    blocks = F.concat(cut(words_of(text)), F.flatten(F.transform(long_lines, cut)))
+    return F.transform(blocks, lambda b: F.array_intersect(b, vocabulary))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, containment: float = CONTAINMENT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row: id, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score."""
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
+    block_words = max(block_words, 2 * max(len(text.split()) for _, text in templates))
     vocabulary = sorted({w for _, ws in sets for w in ws})
     known = F.lit(vocabulary)
     flat = F.col("flat")
