@@ -66,7 +66,7 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _WRITTEN_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[]\x20?(?:at|AT)\x20?[)\]]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:[(\[]\x20?(?:dot|DOT)\x20?[)\]]|\.)\x20?[A-Za-z0-9-]{2,63}+){1,4}+"
 _LOCAL_PHONE = r"(?<![0-9A-Za-z+.(-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z-]|\.[0-9])"
 _IDENTITY = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
-_SECRET = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api[_-]?key)[\x20]{0,3}[=:][\x20]{0,3}\"?[^\s\"]{6,200}+"
+_SECRET = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|token|secret|api[_-]?key)[\x20]{0,3}[=:][\x20]{0,3}\"?[^\s\"]{6,}+"
 _PERSON = r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]{1,30}+(?:\x20[A-Z][a-z]{1,30}+)?+"
 
 _FLAGS = "struct<kind:string,first:int,last:int,base:boolean,votes:array<int>,shape:array<int>>"
@@ -142,7 +142,7 @@ def _judged(kind: str, spans: Column, base: bool) -> Column:
         text, digits = m["text"], _digits(m["text"])
         strict = {
             "email": F.lit(base), "ip": F.lit(base), "phone": F.lit(base) | text.rlike(r"^\([0-9]{3}\)"), "card": F.lit(base),
-            "identity": text.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), "secret": text.rlike(r"[=:]\x20*\"?(?=[^\s]*[0-9])(?=[^\s]*[A-Za-z])[^\s\"]{8,}"), "person": text.rlike(r"\x20[A-Z][a-z]+\x20"),
+            "identity": text.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), "secret": text.rlike(r"^[^=:]*+[=:]\x20*\"?(?=[^\s]*[0-9])(?=[^\s]*[A-Za-z])[^\s\"]{8,}"), "person": text.rlike(r"\x20[A-Z][a-z]+\x20"),
         }[kind]
         check = {
             "card": _vote(luhn(digits), 1, -1), "ip": _vote(~text.rlike(r"^(?:0|127|255)\."), 1, 0),
