@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.session import work_path
@@ -59,6 +59,25 @@ def sized_join(left: DataFrame, right: DataFrame, on, how: str, most: int = BROA
     return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
 
 
+def ranked(df: DataFrame, order: list[str], name: str, label: str = "ranked") -> DataFrame:
+    """Add a gapless rank from 0 by some columns (ascending, nulls first); no task sees more than one range of rows.
+
+    Rows are dealt into ranges, sorted there and written with their place; a range's first rank is the number of
+    rows before it, and only those sums (one row per range) are ordered in one task. Columns that can tie over
+    many rows must be followed by one that tells rows apart, so that a range can end between them.
+    """
+    place, part, begin, size = (fresh_name(df, f"{name}_{c}") for c in ("place", "part", "begin", "size"))
+    keys = [F.col(f"`{c}`") for c in order]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # Partition number in the upper bits, row number in the lower 33.
+    stored = written(dealt.withColumn(place, F.monotonically_increasing_id()), label)
+    sizes = stored.groupBy(F.shiftright(place, 33).alias(part)).agg(F.count("*").alias(size))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    begins = written(sizes.select(part, F.coalesce(F.sum(size).over(before), F.lit(0)).alias(begin)), f"{label}-begins")
+    met = sized_join(stored.withColumn(part, F.shiftright(place, 33)), begins, part, "inner")
+    return met.withColumn(name, F.col(begin) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))).drop(place, part, begin)
+
+
 def fresh_name(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in df.columns}
