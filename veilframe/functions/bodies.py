@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilframe.functions.arrays import bound, counts_until
+
 PART = "struct<message:int,part:int,role:string,kind:string,text:string>"
 PARTS = f"array<{PART}>"
 _BODY = "messages array<map<string,variant>>, prompt variant, model variant, stream variant"
@@ -93,9 +95,18 @@ def _object(entries: Column, value_of) -> Column:
 def rebuild_body(body: Column, replaced: Column) -> Column:
     """The body with its texts taken from ``replaced`` (same layout as ``text_parts``)."""
 
+    # Where each message's parts begin among the replaced ones; a prompt (message -1) stands after all.
+    numbers = F.filter(F.transform(replaced, lambda r: r["message"]), lambda m: m >= 0)
+    begins = bound(numbers, lambda n: F.when(F.size(n) > 0, counts_until(F.sequence(F.lit(0), F.array_max(n) + 1), n, inclusive=False)))
+    layout = F.struct(replaced.alias("parts"), begins.alias("begins"))
+    return bound(layout, lambda x: _rebuilt(body, x["parts"], x["begins"]))
+
+
+def _rebuilt(body: Column, replaced: Column, begins: Column) -> Column:
     def new_text(message: Column, part: Column) -> Column:
-        hit = F.filter(replaced, lambda r: (r["message"] == message) & (r["part"] == part))
-        return F.get(hit, 0)["text"]
+        begin = F.get(begins, message)
+        own = F.slice(replaced, begin + 1, F.get(begins, message + 1) - begin)
+        return F.get(F.filter(own, lambda r: r["part"] == part), 0)["text"]
 
     def content(value: Column, i: Column) -> Column:
         def part_json(p: Column, j: Column) -> Column:
@@ -119,7 +130,7 @@ def rebuild_body(body: Column, replaced: Column) -> Column:
     def value_json(e: Column) -> Column:
         messages = F.try_variant_get(e["value"], "$", "array<map<string,variant>>")
         rebuilt = F.concat(F.lit("["), F.array_join(F.transform(messages, message_json), ","), F.lit("]"))
-        prompt = new_text(F.lit(-1), F.lit(-1))
+        prompt = F.get(F.filter(replaced, lambda r: r["message"] == -1), 0)["text"]
         return (
             F.when((e["key"] == "messages") & messages.isNotNull(), rebuilt)
             .when((e["key"] == "prompt") & prompt.isNotNull(), json_string(prompt))

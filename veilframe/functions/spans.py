@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilframe.functions.arrays import bound, running_max, running_sum
 from veilframe.functions.recognizers import Recognizer
 from veilframe.functions.taxonomy import DEFAULT_SPECIFICITY, SPECIFICITY, type_specificity
 
@@ -26,7 +27,8 @@ SPANS = f"array<{SPAN}>"
 
 # Layers in detection order; a layer's rank base keeps ties in this order.
 LAYERS = ("encoder", "ner", "pattern", "denylist", "external")
-LAYER_STEP = 100_000
+# The step leaves room for as many findings of one text in a layer as an array can hold at all.
+LAYER_STEP = 400_000_000
 DENY_TYPE, DENY_CONFIDENCE = "API_KEY", 0.95
 
 
@@ -101,13 +103,38 @@ def match_lists(text: Column, folded: Column, runs: Column, rules: Sequence[Rule
     return F.array(*lists).cast("array<array<string>>")
 
 
-def locate_matches(text: Column, lists: Column, rules: Sequence[Rule], allow: Sequence[str] = ()) -> Column:
-    """Spans of all rules from their match lists.
+def locate_hit(text: Column, hit: Column) -> Column:
+    """Spans of one rule (pattern, pii_type, confidence, rank, spec) from its matches ``m``, in text order.
 
     Spark returns match texts but no positions. The texts between matches supply them:
     ``split`` and ``regexp_extract_all`` interleave, so a running sum of their lengths
-    is the position. Texts and rules without a match are dropped before the split.
+    is the position.
     """
+    pieces = F.zip_with(
+        hit["m"],
+        F.split(text, hit["rule"]["pattern"], F.lit(-1)),
+        lambda m, g: F.struct(
+            m.alias("m"), (F.length(g) + F.length(m)).alias("chars"), (F.octet_length(g) + F.octet_length(m)).alias("bytes")),
+    )
+    # The last gap has no match after it.
+    pieces = F.slice(pieces, 1, F.size(hit["m"]))
+    rule = hit["rule"]
+
+    def spans(found: Column) -> Column:
+        ends = F.struct(
+            running_sum(F.transform(found, lambda p: p["chars"])).alias("chars"), running_sum(F.transform(found, lambda p: p["bytes"])).alias("bytes"))
+
+        def span(end: Column, p: Column, i: Column) -> Column:
+            e, be = F.get(end["chars"], i), F.get(end["bytes"], i)
+            return span_struct(e - F.length(p["m"]), e, rule["pii_type"], p["m"], rule["confidence"], rule["rank"], rule["spec"], be - F.octet_length(p["m"]), be)
+
+        return bound(ends, lambda end: F.transform(found, lambda p, i: span(end, p, i)))
+
+    return bound(pieces, spans)
+
+
+def locate_matches(text: Column, lists: Column, rules: Sequence[Rule], allow: Sequence[str] = ()) -> Column:
+    """Spans of all rules from their match lists. Rules without a match are dropped before anything is located."""
     facts = F.array(*[
         F.struct(
             F.lit(r.rec.spark_pattern()).alias("pattern"),
@@ -123,28 +150,7 @@ def locate_matches(text: Column, lists: Column, rules: Sequence[Rule], allow: Se
         lambda h: F.size(h["m"]) > 0,
     )
 
-    def locate(hit: Column) -> Column:
-        pieces = F.zip_with(
-            hit["m"],
-            F.split(text, hit["rule"]["pattern"], F.lit(-1)),
-            lambda m, g: F.struct(m.alias("m"), g.alias("g")),
-        )
-        # The last gap has no match after it.
-        pieces = F.slice(pieces, 1, F.size(hit["m"]))
-        def step(acc: Column, p: Column) -> Column:
-            s = acc["pos"] + F.length(p["g"])
-            e = s + F.length(p["m"])
-            bs = acc["bpos"] + F.octet_length(p["g"])
-            be = bs + F.octet_length(p["m"])
-            rule = hit["rule"]
-            span = span_struct(s, e, rule["pii_type"], p["m"], rule["confidence"], rule["rank"],
-                               rule["spec"], bs, be)
-            return F.struct(e.alias("pos"), be.alias("bpos"), *grow(acc, span))
-
-        start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("bpos"), *no_blocks())
-        return F.aggregate(pieces, start, step, all_blocks)
-
-    spans = F.flatten(F.transform(hits, locate))
+    spans = F.flatten(F.transform(hits, lambda h: locate_hit(text, h)))
     keep = []
     for r in rules:
         if r.rec.validator is not None:
@@ -154,20 +160,39 @@ def locate_matches(text: Column, lists: Column, rules: Sequence[Rule], allow: Se
     return F.filter(spans, lambda s: all_of([k(s) for k in keep])) if keep else spans
 
 
+def listed_spans(text: Column, patterns: Column, first_rank: int = 0) -> Column:
+    """Denylist spans of the patterns in an array column, ranked in the array's order after ``first_rank`` others."""
+    hits = F.transform(patterns, lambda p, i: F.struct(
+        F.regexp_extract_all(text, p, F.lit(0)).alias("m"),
+        F.struct(
+            p.alias("pattern"), F.lit(DENY_TYPE).alias("pii_type"), F.lit(DENY_CONFIDENCE).alias("confidence"),
+            (F.lit(layer_rank("denylist") + first_rank) + i).alias("rank"), F.lit(SPECIFICITY.get(DENY_TYPE, DEFAULT_SPECIFICITY)).alias("spec"),
+        ).alias("rule"),
+    ))
+    return F.flatten(F.transform(F.filter(hits, lambda h: F.size(h["m"]) > 0), lambda h: locate_hit(text, h)))
+
+
 def is_allowed(text: Column, allow: Sequence[str]) -> Column:
     return any_of([text.rlike("(?U)" + a) for a in allow])
 
 
 def drop_repeated_ranges(spans: Column) -> Column:
-    """Denylist and external spans give way to an earlier span with exactly their range."""
+    """Denylist and external spans give way to an earlier span with exactly their range.
+
+    Sorted by range and rank, a span follows the earlier one directly.
+    """
     ruled = layer_rank("denylist")
-    return F.filter(
-        spans,
-        lambda s: (s["rank"] < ruled) | ~F.exists(
-            spans,
-            lambda t: (t["rank"] < s["rank"]) & (t["start"] == s["start"]) & (t["end"] == s["end"]),
-        ),
-    )
+    entries = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s.alias("span"))))
+
+    def kept(all_: Column) -> Column:
+        def first(e: Column, i: Column) -> Column:
+            before = F.get(all_, i - 1)
+            same = (before["start"] == e["start"]) & (before["end"] == e["end"])
+            return (e["rank"] < ruled) | ~F.coalesce(same, F.lit(False))
+
+        return F.transform(F.filter(all_, first), lambda e: e["span"])
+
+    return bound(entries, kept)
 
 
 def span_struct(start, end, pii_type, text, confidence, rank, spec, byte_start, byte_end) -> Column:
@@ -202,33 +227,13 @@ def external_span(text, start, end, pii_type, confidence, rank) -> Column:
                        type_specificity(pii_type), char_to_byte(text, start), char_to_byte(text, end))
 
 
-# Appending to an array copies it. Folds therefore fill short tails and keep full ones as blocks.
-_BLOCK = 64
-
-
-def no_blocks() -> list[Column]:
-    return [F.array().cast(f"array<{SPANS}>").alias("blocks"), no_spans().alias("tail")]
-
-
-def grow(acc: Column, span: Column) -> list[Column]:
-    """The accumulator fields after appending a span."""
-    full = F.size(acc["tail"]) >= _BLOCK
-    return [
-        F.when(full, F.concat(acc["blocks"], F.array(acc["tail"]))).otherwise(acc["blocks"]).alias("blocks"),
-        F.when(full, F.array(span)).otherwise(F.concat(acc["tail"], F.array(span))).alias("tail"),
-    ]
-
-
-def all_blocks(acc: Column) -> Column:
-    return F.flatten(F.concat(acc["blocks"], F.array(acc["tail"])))
-
-
 def resolve_overlaps(spans: Column) -> Column:
     """Sorted, disjoint spans.
 
     A left fold over spans ordered by (start, end, falling confidence, rank). Each span
     meets only the last kept one: without overlap it is appended, otherwise exactly one of
-    the two survives.
+    the two survives. A span that starts where all before it have ended meets none of them, so
+    the fold runs over each stretch of overlapping spans alone.
     """
 
     def wins(m: Column, e: Column) -> Column:
@@ -247,19 +252,25 @@ def resolve_overlaps(spans: Column) -> Column:
         )
 
     def step(acc: Column, m: Column) -> Column:
-        tail = acc["tail"]
-        e = F.get(tail, F.size(tail) - 1)
-        swapped = F.struct(
-            acc["blocks"].alias("blocks"),
-            F.concat(F.slice(tail, F.lit(1), F.size(tail) - 1), F.array(m)).alias("tail"),
-        )
+        e = F.get(acc, F.size(acc) - 1)
         return (
-            F.when((F.size(tail) == 0) | (m["start"] >= e["end"]), F.struct(*grow(acc, m)))
-            .when(wins(m, e), swapped)
+            F.when((F.size(acc) == 0) | (m["start"] >= e["end"]), F.concat(acc, F.array(m)))
+            .when(wins(m, e), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(m)))
             .otherwise(acc)
         )
 
-    return F.aggregate(F.array_sort(spans), F.struct(*no_blocks()), step, all_blocks)
+    def stretches(all_: Column) -> Column:
+        def by_reach(reach: Column) -> Column:
+            apart = F.transform(all_, lambda s, i: F.when((i == 0) | (s["start"] >= F.get(reach, i - 1)), i))
+            return bound(F.filter(apart, lambda i: i.isNotNull()), folded)
+
+        def folded(begins: Column) -> Column:
+            return F.flatten(F.transform(begins, lambda at, k: F.aggregate(
+                F.slice(all_, at + 1, F.coalesce(F.get(begins, k + 1), F.size(all_)) - at), no_spans(), step)))
+
+        return bound(running_max(F.transform(all_, lambda s: s["end"])), by_reach)
+
+    return bound(F.sort_array(spans), lambda all_: F.when(F.size(all_) <= 1, all_).otherwise(stretches(all_)))
 
 
 def type_counts(spans: Column) -> Column:

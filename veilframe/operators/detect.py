@@ -20,6 +20,7 @@ from veilframe.functions.spans import (
     drop_repeated_ranges,
     fold_case,
     is_allowed,
+    listed_spans,
     locate_matches,
     match_lists,
     no_spans,
@@ -40,13 +41,16 @@ def find_spans(
     min_confidence: float = MIN_CONFIDENCE,
     enabled_types: Sequence[str] | None = None,
     feeds: Sequence[str] = (),
+    deny_col: str | None = None,
+    allow_col: str | None = None,
     out: str = "found",
 ) -> DataFrame:
     """All candidate spans of all layers, before overlap resolution.
 
     ``feeds`` names span-array columns already on ``df`` (encoder or NER output).
     Denylist and external spans are skipped where an earlier pattern or denylist span
-    has exactly the same range; allow patterns drop spans of any layer.
+    has exactly the same range; allow patterns drop spans of any layer. ``deny_col`` and
+    ``allow_col`` name columns with further patterns for each text (arrays of engine patterns).
     """
     text = F.col(text_col)
     rules = (
@@ -59,13 +63,21 @@ def find_spans(
     step = df.withColumns({"__folded": fold_case(text), "__runs": number_runs(text)})
     step = step.withColumn("__lists", match_lists(text, F.col("__folded"), F.col("__runs"), rules))
     step = step.withColumn(out, F.coalesce(locate_matches(text, F.col("__lists"), rules, allow), no_spans()))
-    if deny or external:
+    if deny_col:
+        listed = listed_spans(text, F.col(deny_col), len(deny))
+        if allow:
+            listed = F.filter(listed, lambda s: ~is_allowed(s["text"], allow))
+        step = step.withColumn(out, F.concat(out, F.coalesce(listed, no_spans())))
+    if deny or external or deny_col:
         step = step.withColumn(out, drop_repeated_ranges(F.col(out)))
     for feed in feeds:
         fed = F.coalesce(F.col(feed), no_spans())
         if allow:
             fed = F.filter(fed, lambda s: ~is_allowed(s["text"], allow))
         step = step.withColumn(out, F.concat(fed, F.col(out)))
+    if allow_col:
+        patterns = F.col(allow_col)
+        step = step.withColumn(out, F.filter(out, lambda s: ~F.exists(patterns, lambda p: F.rlike(s["text"], p))))
     return step.drop("__folded", "__runs", "__lists")
 
 

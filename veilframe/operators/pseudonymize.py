@@ -64,7 +64,7 @@ def sanitize_bodies(df: DataFrame, body_col: str = "body", **layers) -> DataFram
     texts with line breaks stay in their message and nothing is lost in a round trip.
     """
     step = with_texts(df, body_col)
-    step = detect(step, "text", out="__whole", **layers).withColumn("__ranges", K.part_ranges(F.col("parts")))
+    step = pinned(detect(step, "text", out="__whole", **layers), {"__ranges": K.part_ranges(F.col("parts"))})
     clipped = K.clip_to_parts(F.col("text"), F.col("__whole"), F.col("__ranges"))
     step = assign_tokens(pinned(step, {"spans": clipped}))
     step = step.withColumn("__new", K.replace_in_parts(

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.functions.recognizers import RECOGNIZERS, custom_recognizer, recognizer_for
+from veilframe.functions.spans import layer_rank
 from veilframe.functions.taxonomy import SPECIFICITY
 from veilframe.operators import detect as D
+from veilframe.operators.rule_table import detect_with_rule_table
 from veilframe.plans import oracle_detection as O
 from veilframe.plans.fixtures import docs_pii, text_table
 from veilframe.plans.registry import register
+from veilframe.session import table
 
 # Shared by queries and their SQL: what the callers would configure.
 DENY = (r"\bexample-(?:user|pass)\b", r"[A-Z]{3}\d{6}", r"4111 1111 1111 1111")
@@ -116,11 +119,11 @@ def _denied(recs=RECOGNIZERS, external=(), allow=()):
 @register(
     "denylist_spans",
     _with(O.docs_pii_cte(), _denied())
-    + ' select doc_id, pii_type, text, cast(start as int) as start, cast("end" as int) as "end" from found where rank >= 300000',
+    + ' select doc_id, pii_type, text, cast(start as int) as start, cast("end" as int) as "end" from found where rank >= ' + str(layer_rank("denylist")),
 )
 def denylist_spans(spark, sf_dir):
     found = D.find_spans(docs_pii(spark, sf_dir), deny=DENY, out="spans")
-    only = found.withColumn("spans", F.filter("spans", lambda s: s["rank"] >= 300000))
+    only = found.withColumn("spans", F.filter("spans", lambda s: s["rank"] >= layer_rank("denylist")))
     return D.explode_spans(only, "doc_id").select("doc_id", "pii_type", "text", "start", "end")
 
 
@@ -219,3 +222,60 @@ def flagship(spark, sf_dir):
 
 
 __all__ = ["flagship", "recognizer_for"]
+
+
+#: One rule per part: words of the invented prose with a variable middle, either-or, case-blind, counted and class-only
+#: patterns; every tenth rule is an allow rule.
+_PART_RULES = r"""part_rules as (
+  select p_partkey as k, case when p_partkey % 10 = 9 then 'allow' else 'deny' end as list,
+    case when p_partkey % 100 = 50 then '[' || a || b || ']{5}'
+      when p_partkey % 10 = 9 then a || '[a-z]*@' || b || '|^' || (p_partkey % 90 + 10) || '[0-9]-|example[.]' || b
+      when p_partkey % 4 = 0 then 'th' || a || '[a-z]{2,9}' || b || ' '
+      when p_partkey % 4 = 1 then '(?:tion' || a || '|sch' || b || ')[a-z]'
+      when p_partkey % 4 = 2 then '(?i)' || a || b || 'e[rn]{2}'
+      else b || 'a{2,}' || a || '?' end as pattern
+  from (select p_partkey, chr(97 + cast(p_partkey * 7 % 26 as int)) as a, chr(97 + cast((p_partkey // 26) * 11 % 26 as int)) as b from part))"""
+
+
+def part_rules(spark, sf_dir):
+    letter = lambda n: F.char(F.lit(97) + n % 26)
+    k = F.col("p_partkey")
+    a, b = letter(k * 7), letter(F.expr("p_partkey div 26") * 11)
+    allow = F.concat(a, F.lit("[a-z]*@"), b, F.lit("|^"), (k % 90 + 10).cast("string"), F.lit("[0-9]-|example[.]"), b)
+    pattern = (
+        F.when(k % 100 == 50, F.concat(F.lit("["), a, b, F.lit("]{5}")))
+        .when(k % 10 == 9, allow)
+        .when(k % 4 == 0, F.concat(F.lit("th"), a, F.lit("[a-z]{2,9}"), b, F.lit(" ")))
+        .when(k % 4 == 1, F.concat(F.lit("(?:tion"), a, F.lit("|sch"), b, F.lit(")[a-z]")))
+        .when(k % 4 == 2, F.concat(F.lit("(?i)"), a, b, F.lit("e[rn]{2}")))
+        .otherwise(F.concat(b, F.lit("a{2,}"), a, F.lit("?")))
+    )
+    part = table(spark, sf_dir, "part")
+    return part.select(F.lpad(k.cast("string"), 12, "0").alias("id"), F.when(k % 10 == 9, "allow").otherwise("deny").alias("list"), pattern.alias("pattern"))
+
+
+_LISTED = f"""
+listed as (
+  select d.doc_id, {layer_rank("denylist")} + r.k as rank, regexp_extract_all(d.text, r.pattern) as m, string_split_regex(d.text, r.pattern) as g
+  from docs_pii d join part_rules r on r.list = 'deny' and regexp_matches(d.text, r.pattern)),
+listed_spans as (
+  select doc_id, s as start, s + length(text) as "end", rank, {SPECIFICITY["API_KEY"]} as spec, 'API_KEY' as pii_type, text, cast(0.95 as double) as confidence
+  from (select doc_id, rank, m[i] as text, list_sum(list_transform(g[1:i], lambda x: length(x)))
+      + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) as s
+    from (select *, unnest(range(1, len(m) + 1)) as i from listed))),
+every_all as (
+  select * from (select * from pat_all union all by name select * from listed_spans) f
+  where not exists (select 1 from part_rules a where a.list = 'allow' and regexp_matches(f.text, a.pattern))),
+every as (
+  select * from every_all f where rank < {layer_rank("denylist")} or not exists (
+    select 1 from every_all t where t.doc_id = f.doc_id and t.start = f.start and t."end" = f."end" and t.rank < f.rank))"""
+
+
+@register(
+    "detection_with_rule_table",
+    _with(O.docs_pii_cte(), _PART_RULES, O.found_cte(name="pat"), _LISTED.strip(), O.resolved_cte("every"))
+    + ' select doc_id, pii_type, text, cast(start as int) as start, cast("end" as int) as "end" from resolved',
+)
+def detection_with_rule_table(spark, sf_dir):
+    found = detect_with_rule_table(docs_pii(spark, sf_dir), part_rules(spark, sf_dir), "doc_id")
+    return D.explode_spans(found, "doc_id").select("doc_id", "pii_type", "text", "start", "end")

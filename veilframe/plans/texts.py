@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import bodies as B
 from veilframe.functions.recognizers import RECOGNIZERS
-from veilframe.functions.spans import char_to_byte, safe_slice
+from veilframe.functions.spans import char_to_byte, layer_rank, safe_slice
 from veilframe.functions.taxonomy import (
     GENERATIVE_FALLBACK,
     GENERATIVE_LABELS,
@@ -288,7 +288,7 @@ def ingested_encoder_spans(spark, sf_dir):
 
 @register("detection_with_model_layers", "with " + ",\n".join([O.docs_pii_cte(), _FEED.format("n", 0.0), O.found_cte(), f"""
 every as (select doc_id, start, "end", rank, spec, pii_type, text, confidence from found
- union all select doc_id, start, "end", 100000 + i, spec, pii_type, text, cast(confidence as double) from feed_n where confidence >= 0.5)""", O.resolved_cte("every")]) +
+ union all select doc_id, start, "end", {layer_rank("ner")} + i, spec, pii_type, text, cast(confidence as double) from feed_n where confidence >= 0.5)""", O.resolved_cte("every")]) +
           ' select doc_id, pii_type, text, cast(start as int) as start from resolved')
 def detection_with_model_layers(spark, sf_dir):
     fed = S.ingest_external_spans(_replies(spark, sf_dir), "ner")
