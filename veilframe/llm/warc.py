@@ -6,8 +6,8 @@ assembles transactions: records meet under the id of their response (their concu
 their own for responses and revisits) in one shuffle, and each capture comes out as one nested
 row. That grouping is the three-way join on concurrent-to; it reads the archive once.
 
-Archives are text files whose records are ended by the version line of the next record, written
-and read by Spark's own text source, so they can lie in any store that Spark reaches and records
+Archives are text files, each record with its version line, headers, block and two line breaks, written
+and read by Spark's own text source (reading takes the version line as the separator of records), so they can lie in any store that Spark reaches and records
 are read as a stream. A payload that contains the version line itself is stored with chunked
 transfer coding, with a chunk border inside each such line, so no payload can be mistaken for a
 record border. Reading checks every Content-Length.
@@ -31,7 +31,8 @@ from veilframe.llm.common import sized_join, written
 
 LEAST_BYTES = 100
 VERSION = "WARC/1.1\r\n"
-_END = "\r\n\r\n"
+_BREAK = "\r\n"
+_END = _BREAK * 2
 
 
 def _urn(kind: str, key: Column) -> Column:
@@ -45,7 +46,8 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
     """Headers and block; headers that are null are left out."""
     lines = [F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")) for name, value in headers]
     size = F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))
-    return F.concat(*[F.coalesce(x, F.lit("")) for x in lines], size, F.lit(_END), block, F.lit(_END))
+    # The line separator of the text source is the second of the two line breaks after a block.
+    return F.concat(F.lit(VERSION), *[F.coalesce(x, F.lit("")) for x in lines], size, F.lit(_END), block, F.lit(_BREAK))
 
 
 def _http(payload: Column) -> Column:
@@ -95,9 +97,8 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, dat
         _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn("metadata", key)), ("WARC-Date", when), ("WARC-Target-URI", target),
                  ("WARC-Concurrent-To", response_id), ("Content-Type", F.lit("application/warc-fields"))], about),
     )
-    # The text source ends each line with the separator: a record, then the next one's version line.
     lines = marked.select(F.explode(records).alias("value"))
-    lines.write.option("lineSep", VERSION).option("compression", "gzip").text(path)
+    lines.write.option("lineSep", _BREAK).option("compression", "gzip").text(path)
 
 
 def _header(head: Column, name: str) -> Column:
@@ -141,10 +142,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def captures(records: DataFrame, with_payload: bool = True) -> DataFrame:
     """One nested row per capture: page_id, target, request, response and metadata.
 
-    A record that is missing leaves its struct null. ``record_type`` is response or revisit.
+    Requests and metadata may name their response in concurrent-to, or a response its request; a record that is
+    named by none and names none is a capture of its own. A record that is missing leaves its struct null.
+    ``record_type`` is response or revisit.
     """
     answer = F.col("type").isin("response", "revisit")
-    group = F.when(answer, F.col("record_id")).otherwise(F.col("concurrent_to"))
+    # Responses that name another record (its id stands for theirs then); none in archives of ``write_pages``.
+    named = records.where(answer & F.col("concurrent_to").isNotNull())
+    named = written(named.groupBy(F.col("concurrent_to").alias("named_id")).agg(F.min("record_id").alias("answer_id")), "named-records")
+    own = F.when(answer, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id"))
+    records = sized_join(records.withColumn("own_id", own), named, F.col("own_id") == F.col("named_id"), "left")
+    group = F.when(answer, F.col("record_id")).otherwise(F.coalesce("answer_id", "own_id"))
     response = F.struct("record_id", "type", "target", "digest", "complete", "payload_bytes", "payload_digest", *(["payload"] if with_payload else []))
     other = F.struct("record_id", "target", "complete")
     told = lambda name: F.regexp_extract("fields", rf"(?m)^{name}:[ \t]*([0-9-]+)", 1)
