@@ -47,7 +47,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: evaluated once, lineage cut, survives lost executors."""
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete written tables. Only for tables that nothing unfinished reads: what was made of them is written itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def placed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows with what tells each apart, and the names of those columns.
+
+    Rows of a Parquet table are told apart by their file and their number in it, so nothing is copied; rows that
+    come from a computation are numbered and written once.
+    """
+    file, number = fresh_name(docs, "of_file"), fresh_name(docs, "in_file")
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and docs.inputFiles():
+        found = F.xxhash64(F.col("_metadata.file_path")), F.col("_metadata.row_index")
+        return docs.withColumns({file: found[0], number: found[1]}), [file, number]
+    numbered = docs.withColumns({file: F.lit(0).cast("long"), number: F.monotonically_increasing_id()})
+    return written(numbered, "numbered"), [file, number]
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
