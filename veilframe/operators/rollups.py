@@ -96,8 +96,13 @@ def session_stats(df: DataFrame) -> DataFrame:
 
 
 def session_stats_or_default(stats: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Stats of the wanted session ids; unknown ids give a row of zeros."""
-    joined = wanted.select("session_id").distinct().join(stats, "session_id", "left")
+    """Stats of the wanted sessions; unknown ones give a row of zeros.
+
+    A session id may occur in several tenants. ``wanted`` names the session by both keys and gets one row for each
+    pair; without a tenant column it gets the session of every tenant that has it.
+    """
+    keys = [c for c in ("session_id", "tenant_id") if c in wanted.columns]
+    joined = wanted.select(*keys).distinct().join(stats, keys, "left")
     zero_long = [
         "duration_seconds", "tokens_in_system", "tokens_in_user", "tokens_in_cached", "tokens_out",
         "tokens_truncated", "tokens_in_cache_write", "cost_estimate_cents", "truncation_count", "retry_count",

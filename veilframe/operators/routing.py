@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.session import lookup_join
+
 # The well-known providers with their models, in routing order.
 DEFAULT_PROVIDERS = (
     ("openai-default", "OpenAI", "https://api.openai.com/v1",
@@ -43,7 +45,7 @@ def _first_match(models: DataFrame, providers: DataFrame, id_col: str, not_name:
 def resolve_provider(df: DataFrame, providers: DataFrame, model_col: str = "model_id") -> DataFrame:
     """Add provider and, where none matches, an error text."""
     found = _first_match(df, providers, model_col)
-    joined = df.join(found, model_col, "left")
+    joined = lookup_join(df, found, [model_col])
     return joined.withColumns({
         "provider": F.col("__provider"),
         "route_error": F.when(F.col("__provider").isNull(), F.concat(F.lit("No provider configured for model: "), F.col(model_col))),
@@ -56,7 +58,7 @@ def failover_provider(df: DataFrame, providers: DataFrame, model_col: str = "mod
     found = _first_match(df.where(F.col(failed_col).isNotNull()), providers, model_col, failed_col) if failed_col != "provider" else (
         _first_match(df.withColumnRenamed("provider", "__failed").where(F.col("__failed").isNotNull()), providers, model_col, "__failed")
         .withColumnRenamed("__failed", "provider"))
-    return df.join(found, [model_col, failed_col], "left").withColumnRenamed("__provider", out)
+    return lookup_join(df, found, [model_col, failed_col]).withColumnRenamed("__provider", out)
 
 
 def passthrough_provider(df: DataFrame, providers: DataFrame, model_col: str = "model_id") -> DataFrame:

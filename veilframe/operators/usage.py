@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import pricing as P
 from veilframe.functions.columns import longest_prefix_match
+from veilframe.session import lookup_join
 from veilframe.sources.usage_store import DEFAULT_TENANT, SCHEMA_VERSION, USAGE_SCHEMA
 
 
@@ -31,7 +32,7 @@ def with_dynamic_cost(df: DataFrame, prices: DataFrame, prices_as_of: str) -> Da
         "cache_read_input_token_cost", "cache_creation_input_token_cost",
     )
     found = longest_prefix_match(df, "model_id", rates, "__model")
-    joined = with_cost(df, cache_write=True).join(found, "model_id", "left")
+    joined = lookup_join(with_cost(df, cache_write=True), found, ["model_id"])
     tokens_in = (F.col("tokens_in_system") + F.col("tokens_in_user")).cast("double")
     total_usd = (
         tokens_in * F.coalesce("input_cost_per_token", F.lit(P.FALLBACK_INPUT_USD))

@@ -1,7 +1,7 @@
 """All registered queries; importing this package fills the registry."""
 
-from veilframe.plans import detection, gateway, streams, texts, usage
+from veilframe.plans import detection, gateway, stores, streams, texts, usage
 from veilframe.plans.detection import flagship
 from veilframe.plans.registry import REGISTRY
 
-__all__ = ["REGISTRY", "detection", "flagship", "gateway", "streams", "texts", "usage"]
+__all__ = ["REGISTRY", "detection", "flagship", "gateway", "stores", "streams", "texts", "usage"]

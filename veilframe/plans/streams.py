@@ -36,8 +36,9 @@ def _slices(spark, sf_dir, name: str, close: bool):
     """
     rows = table(spark, sf_dir, name)
     order, after = _ORDER[name]
-    low, high = rows.select(F.min(F.expr(order)), F.max(F.expr(order))).first()
-    number = F.floor((F.expr(order) - F.lit(low)) * _SLICES / F.lit(high - low + 1))
+    low, high = rows.select(F.coalesce(F.min(F.expr(order)), F.lit(0)), F.coalesce(F.max(F.expr(order)), F.lit(0))).first()
+    # Rows without a time come first.
+    number = F.coalesce(F.floor((F.expr(order) - F.lit(low)) * _SLICES / F.lit(high - low + 1)), F.lit(0))
     yield from (rows.where(number == i) for i in range(_SLICES))
     if close:
         late = {"ts": F.timestamp_micros(F.lit(high + after))} if name == "events" else {"conv_id": F.lit(high + after), "turn": F.lit(0)}
@@ -183,11 +184,47 @@ def stream_token_lifetime(spark, sf_dir):
             "ts", F.col("event_id").alias("row_id")))
 
     with _rocksdb(spark):
-        return _run(spark, sf_dir, "events", build, "lifetime")
+        return _run(spark, sf_dir, "events", build, "lifetime", close=True)
 
 
 @register("stream_rate_limit_decisions", GW._walk_sql("client_id", GW._LOG, 2, 38).replace("select event_id, client_id, decision from walk", "select event_id as row_id, client_id, decision from walk"))
 def stream_rate_limit_decisions(spark, sf_dir):
     build = lambda source: S.rate_limit_stream(request_log(spark, sf_dir, source), L.Limits(2, 38))
     with _rocksdb(spark):
-        return _run(spark, sf_dir, "events", build, "limits")
+        return _run(spark, sf_dir, "events", build, "limits", close=True)
+
+
+_MAP_MINUTES = "case when conv_id % 7 = 0 then 40 else 10 end"
+
+
+def _token_stream(c):
+    """The map row of each conversation: its e-mail address, some minutes before the first chunk; every seventh too early."""
+    first = c.groupBy("conv_id").agg(F.min("turn").alias("turn")) if not c.isStreaming else c
+    return first.select(
+        F.concat(F.lit("s-"), (F.col("conv_id") % 50).cast("string")).alias("session_id"), F.lit("[EMAIL_ADDRESS_1]").alias("token"),
+        F.concat(F.lit('"user'), F.col("conv_id").cast("string"), F.lit('"@example.com')).alias("original"),
+        F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 - F.expr(_MAP_MINUTES) * 60).alias("ts"))
+
+
+@register("stream_joined_rehydration", """select conv_id as stream_id, turn as seq, case when turn % 3 = 2 then 'data: {"usage":{"prompt_tokens":' || turn || '}}' when turn = 4 then 'data: [DONE]'
+ when conv_id % 7 = 0 then 'data: {"t":"[EMAIL_ADDRESS_1] of turn ' || turn || '"}'
+ else 'data: {"t":"\\"user' || conv_id || '\\"@example.com of turn ' || turn || '"}' end || chr(10) || chr(10) as rehydrated from conversations""")
+def stream_joined_rehydration(spark, sf_dir):
+    """Chunks and their token map are both streams; the map comes a slice later than the chunks."""
+    base = work_path(spark, "joined")
+    *slices, last = _slices(spark, sf_dir, "conversations", close=True)
+    schemas = []
+    for chunks, maps in zip([*slices, None, last], [None, *slices, last], strict=True):
+        for part, name in ((chunks, "chunks"), (maps, "tokens")):
+            made = _chunk_stream(slices[0]) if name == "chunks" else _token_stream(slices[0])
+            if part is not None:
+                made = _chunk_stream(part) if name == "chunks" else _token_stream(part)
+            else:
+                made = made.where("false")
+            made.write.mode("append").parquet(f"{base}/{name}")
+            schemas.append(made.schema)
+        source = lambda name, schema: spark.readStream.schema(schema).parquet(f"{base}/{name}")
+        out = J.rehydrate_stream(source("chunks", schemas[0]), source("tokens", schemas[1]))
+        J.run_to_parquet(out, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    found = spark.read.schema(out.schema).parquet(f"{base}/out")
+    return found

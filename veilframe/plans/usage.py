@@ -293,6 +293,20 @@ def session_stats_or_default(spark, sf_dir):
     return out.select("session_id", "tenant_id", "call_count", "cost_estimate_cents", "actual_cost_cents", "cost_unavailable")
 
 
+@register("session_stats_per_tenant", ALL + "," + _SESSIONS + """
+select w.session_id, w.tenant_id, coalesce(call_count, 0) as call_count, coalesce(cost_estimate_cents, 0) as cost_estimate_cents
+from (select distinct 's-' || cast(c_custkey as varchar) || '-2024-01-15' as session_id, unnest(['default', 'acme', 'globex']) as tenant_id from customer) w
+left join sessions using (session_id, tenant_id)""")
+def session_stats_per_tenant(spark, sf_dir):
+    from veilframe.session import table
+
+    wanted = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("s-"), F.col("c_custkey").cast("string"), F.lit("-2024-01-15")).alias("session_id"),
+        F.explode(F.array(*[F.lit(t) for t in ("default", "acme", "globex")])).alias("tenant_id"))
+    out = R.session_stats_or_default(R.session_stats(usage(spark, sf_dir)), wanted)
+    return out.select("session_id", "tenant_id", "call_count", "cost_estimate_cents")
+
+
 @register("tool_stats", ALL + f""", t as (select tool_name as tool, {O.aggs()} from u group by tool_name),
 {O.duration_cte('tool_name')}
 select tool, {', '.join(R.SUMS)}, call_count, {', '.join(f'round({r}, 6) as {r}' for r in ('success_rate', 'retry_rate', 'partial_rate'))},

@@ -53,3 +53,30 @@ def shared_folder(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+#: A looked-up side is broadcast only when it is known to have at most so many (narrow) rows.
+BROADCAST_ROWS = 100_000
+#: Copies of a larger looked-up side, so that a frequent value is not one task's work.
+REPLICAS = 32
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared folder and read back: evaluated once, survives lost executors."""
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lookup_join(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Facts with the columns of a table of one row per key (few columns, its size not known beforehand).
+
+    The table is written and counted. Up to ``most`` rows it is broadcast and the facts stay in place. A larger
+    one is repeated ``REPLICAS`` times, so that the facts of a frequent key are dealt over as many tasks.
+    """
+    small = stored(dim, "lookup")
+    if small.limit(most + 1).count() <= most:
+        return facts.join(F.broadcast(small), on, how)
+    copies = small.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(REPLICAS - 1))))
+    dealt = facts.withColumn("__copy", F.pmod(F.monotonically_increasing_id(), F.lit(REPLICAS)).cast("int"))
+    return dealt.join(copies, [*on, "__copy"], how).drop("__copy")

@@ -24,9 +24,10 @@ def write_audit_entries(entries: DataFrame, path: str, mode: str = "append") ->
     entries.withColumn("entry_date", F.to_date("timestamp")).write.mode(mode).partitionBy("entry_date").parquet(path)
 
 
-def read_audit_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries newest first."""
-    return newest_first(spark.read.parquet(path).drop("entry_date"))
+def read_audit_entries(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """Entries with their day, in no order (``newest_first`` puts them in one); with ``since``, only folders from that day on."""
+    entries = spark.read.parquet(path)
+    return entries if since is None else entries.where(F.col("entry_date") >= F.lit(since).cast("date"))
 
 
 def newest_first(entries: DataFrame) -> DataFrame:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from veilframe.functions.recognizers import pattern_error
 
 PATTERN_MAX, LABEL_MAX = 500, 200
-# Lists are written by hand and become part of the plan; a larger one is refused, not cut.
-MAX_RULES = 10_000
 _RULE = "struct<id:string,pattern:string,label:string,created_at:string,enabled:boolean>"
 LISTS_SCHEMA = f"allowlist array<{_RULE}>, denylist array<{_RULE}>"
 
@@ -61,11 +59,12 @@ def rejected_rules(rules: DataFrame) -> DataFrame:
 
 
 def load_patterns(rules: DataFrame, name: str) -> tuple[list[str], list[tuple[str, str]]]:
-    """Enabled patterns of a list by age and id, and those with bad syntax with the message."""
+    """Enabled patterns of a list by age and id, and those with bad syntax with the message.
+
+    They become part of the plan; for tables that grow there is ``detect_with_rule_table``.
+    """
     order = [c for c in ("created_at", "id", "pattern") if c in rules.columns]
-    rows = rules.where((F.col("list") == name) & F.col("enabled")).orderBy(*order).select("pattern").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules in the {name}list")
+    rows = rules.where((F.col("list") == name) & F.col("enabled")).orderBy(*order).select("pattern").collect()
     errors = {r["pattern"]: pattern_error(rules.sparkSession, r["pattern"]) for r in rows}
     good = [r["pattern"] for r in rows if errors[r["pattern"]] is None]
     return good, [(p, e) for p, e in errors.items() if e is not None]
