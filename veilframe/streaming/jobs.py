@@ -64,6 +64,31 @@ def closing_streams(chunks: DataFrame, key: str = "stream_id", ts: str = "ts", g
     ).drop("w")
 
 
+def rehydrate_stream(chunks: DataFrame, tokens: DataFrame, keys: tuple[str, ...] = ("stream_id", "seq"), scope: str = "session_id",
+                     ts: str = "ts", data_col: str = "data", life: str = "30 minutes", watermark: str = WATERMARK) -> DataFrame:
+    """Event-stream chunks with the values of their tokens, where the token map is a stream as well.
+
+    ``tokens`` (scope, token, original, ts) may arrive after the chunks. A chunk's tokens are joined with the map rows of its
+    scope from ``life`` before it to its own time; a chunk goes out once both streams have passed its time, and map rows
+    are forgotten ``life`` after theirs, so the state holds what lies between the two streams and no more. Of several
+    values of a token the last one counts; unknown tokens stay. Chunks and map rows later than the watermark are lost.
+    """
+    from veilframe.operators.rehydrate import escaped_original, sse_lines, tokens_in
+
+    wanted = chunks.withWatermark(ts, watermark).select(
+        *keys, F.col(ts).alias("chunk_ts"), F.col(scope).alias("chunk_scope"), F.col(data_col).alias("data"),
+        F.explode_outer(tokens_in(F.col(data_col))).alias("wanted"))
+    known = tokens.withColumn("escaped", escaped_original()).withWatermark(ts, watermark).select(
+        F.col(ts).alias("map_ts"), F.col(scope).alias("map_scope"), "token", "original", "escaped")
+    near = F.expr(f"map_scope = chunk_scope and token = wanted and map_ts >= chunk_ts - interval {life} and map_ts <= chunk_ts")
+    entry = F.struct("token", "map_ts", "original", "escaped")
+    met = wanted.join(known, near, "leftOuter").groupBy(*keys, "chunk_ts").agg(
+        F.first("data").alias("data"), F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), entry))).alias("entries"))
+    last = F.filter("entries", lambda e, i: ~F.coalesce(F.get("entries", i + 1)["token"] == e["token"], F.lit(False)))
+    value = lambda name: F.map_from_entries(F.transform(last, lambda e: F.struct(e["token"], e[name])))
+    return met.select(*keys, sse_lines(F.col("data"), value("original"), value("escaped")).alias("rehydrated"))
+
+
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "append", **trigger) -> StreamingQuery:
     """Start a stream into a parquet folder; by default it takes what is there and stops."""
     writer = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode)

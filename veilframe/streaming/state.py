@@ -1,10 +1,15 @@
-"""Custom state: token lifetime and ordered rate-limit decisions.
+"""Custom state: token lifetime and ordered rate-limit decisions, both in event time.
 
-State ends in event time: a timer per key clears it once the watermark has passed its life.
+Rows are kept in state by key and minute until the watermark has passed the minute. Then a timer takes the minutes
+that are over, one after another, and each minute's rows are put in order and decided. So the way rows fall into
+batches, and their order within the watermark's delay, do not matter; what a worker holds at once is one frame of
+input or one minute of one key, whatever the key's share of all rows. A further timer ends the state of a key that is no longer
+in use. Rows without a time have no place in the order and get no decision.
 """
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Iterator
 from typing import Any
@@ -19,52 +24,106 @@ from veilframe.streaming.jobs import WATERMARK
 
 PROVIDER_SETTING = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows wait in buckets of so many microseconds.
+BUCKET = 60_000_000
 
 
-def _rearm(handle: StatefulProcessorHandle, at_us: int) -> None:
-    """One event-time timer per key, at the end of its state's life."""
-    for old in handle.listTimers():
-        handle.deleteTimer(old)
-    handle.registerTimer(at_us // 1_000 + 1)
+class InOrder(StatefulProcessor):
+    """Rows (us, row_id, value) of a key in event-time order, a minute at a time."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "bucket long", "n long")
+        self.rows = handle.getMapState("rows", "bucket long, part long", "rows string")
+
+    def decide(self, key: Any, rows: list[list]) -> pd.DataFrame:
+        """Results of rows that follow all rows decided before."""
+        raise NotImplementedError
+
+    def ends_at(self) -> int | None:
+        """Microsecond from which what was decided has no more effect, None without state."""
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            value = frame["value"] if "value" in frame else pd.Series([None] * len(frame), dtype=object)
+            listed = [
+                [int(us), None if pd.isna(row_id) else int(row_id), v if isinstance(v, str) else None]
+                for us, row_id, v in zip(frame["us"], frame["row_id"], value)
+            ]
+            by_bucket: dict[int, list] = {}
+            for row in listed:
+                by_bucket.setdefault(row[0] // BUCKET, []).append(row)
+            for bucket, part in by_bucket.items():
+                n = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
+                self.rows.updateValue((bucket, n), (json.dumps(part),))
+                self.parts.updateValue((bucket,), (n + 1,))
+        self._rearm()
+        return iter([])
 
-class TokenLifetime(StatefulProcessor):
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1_000
+        for bucket in sorted(b for (b,) in self.parts.keys() if (b + 1) * BUCKET <= passed):
+            rows: list[list] = []
+            for part in range(self.parts.getValue((bucket,))[0]):
+                rows += json.loads(self.rows.getValue((bucket, part))[0])
+                self.rows.removeKey((bucket, part))
+            self.parts.removeKey((bucket,))
+            rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+            yield self.decide(key, rows)
+        end = self.ends_at()
+        if end is not None and end < passed:
+            self.forget()
+        self._rearm()
+
+    def _rearm(self) -> None:
+        """One timer per key: when its next minute is over or, without waiting rows, when its state ends."""
+        waiting = [b for (b,) in self.parts.keys()]
+        at = (min(waiting) + 1) * BUCKET if waiting else self.ends_at()
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old)
+        if at is not None:
+            self.handle.registerTimer(at // 1_000 + (0 if waiting else 1))
+
+    def close(self) -> None:
+        pass
+
+
+class TokenLifetime(InOrder):
     """One token of one session: its original while it is in use."""
 
     def __init__(self, ttl_us: int) -> None:
         self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.state = handle.getValueState("token", "original string, last_us long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["us", "row_id"], kind="stable")
+    def decide(self, key: Any, rows: list[list]) -> pd.DataFrame:
         original, last = self.state.get() if self.state.exists() else (None, 0)
         found = []
-        for us, value in zip(batch["us"], batch["original"]):
+        for us, _, value in rows:
             if original is not None and us - last > self.ttl_us:
                 original = None
-            if isinstance(value, str):
+            if value is not None:
                 original = value
             if original is not None:
-                last = int(us)
+                last = us
             found.append(original)
         if original is not None:
             self.state.update((original, last))
-            _rearm(self.handle, last + self.ttl_us)
         elif self.state.exists():
             self.state.clear()
-        yield pd.DataFrame({
-            "session_id": key[0], "token": key[1], "row_id": batch["row_id"].to_numpy(), "found": found,
-        })
+        return pd.DataFrame({"session_id": key[0], "token": key[1], "row_id": [r[1] for r in rows], "found": found})
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter([])
+    def ends_at(self) -> int | None:
+        return self.state.get()[1] + self.ttl_us if self.state.exists() else None
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.state.clear()
 
 
 def token_lookups(accesses: DataFrame, ttl_minutes: int = 30, watermark: str = WATERMARK) -> DataFrame:
@@ -73,8 +132,8 @@ def token_lookups(accesses: DataFrame, ttl_minutes: int = 30, watermark: str = W
     ``accesses``: session_id, token, original (set when added, null for a lookup), ts, row_id.
     State is keyed by session and token, so one busy session is spread over its tokens.
     """
-    timed = accesses.withWatermark("ts", watermark)
-    rows = timed.select("session_id", "token", "original", "ts", F.unix_micros("ts").alias("us"), "row_id")
+    timed = accesses.where(F.col("ts").isNotNull()).withWatermark("ts", watermark)
+    rows = timed.select("session_id", "token", F.col("original").alias("value"), "ts", F.unix_micros("ts").alias("us"), "row_id")
     return rows.groupBy("session_id", "token").transformWithStateInPandas(
         statefulProcessor=TokenLifetime(ttl_minutes * 60_000_000),
         outputStructType="session_id string, token string, row_id long, found string",
@@ -82,21 +141,20 @@ def token_lookups(accesses: DataFrame, ttl_minutes: int = 30, watermark: str = W
     )
 
 
-class RateDecisions(StatefulProcessor):
+class RateDecisions(InOrder):
     """Recent accepted requests of one client."""
 
     def __init__(self, limits: Limits) -> None:
         self.limits = limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.accepted = handle.getListState("accepted", "us long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["us", "row_id"], kind="stable")
+    def decide(self, key: Any, rows: list[list]) -> pd.DataFrame:
         hour = deque(row[0] for row in self.accepted.get())
         minute, decisions = deque(hour), []
-        for us in batch["us"]:
+        for us, _, _ in rows:
             while hour and hour[0] <= us - HOUR:
                 hour.popleft()
             while minute and minute[0] <= us - MINUTE:
@@ -107,24 +165,22 @@ class RateDecisions(StatefulProcessor):
                 decisions.append(DENIED_HOUR)
             else:
                 decisions.append(ALLOWED)
-                hour.append(int(us))
-                minute.append(int(us))
+                hour.append(us)
+                minute.append(us)
         self.accepted.put([(t,) for t in hour])
-        if hour:
-            _rearm(self.handle, hour[-1] + HOUR)
-        yield pd.DataFrame({"client_id": key[0], "row_id": batch["row_id"].to_numpy(), "decision": decisions})
+        return pd.DataFrame({"client_id": key[0], "row_id": [r[1] for r in rows], "decision": decisions})
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.accepted.clear()
-        return iter([])
+    def ends_at(self) -> int | None:
+        accepted = [row[0] for row in self.accepted.get()] if self.accepted.exists() else []
+        return max(accepted) + HOUR if accepted else None
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.accepted.clear()
 
 
 def rate_limit_stream(requests: DataFrame, limits: Limits = Limits(), watermark: str = WATERMARK) -> DataFrame:
-    """Decisions in arrival order; the state per client is at most one hour of accepts."""
-    timed = requests.withWatermark("ts", watermark)
+    """Decisions in event-time order; the state per client is one hour of accepts and the rows that wait for the watermark."""
+    timed = requests.where(F.col("ts").isNotNull()).withWatermark("ts", watermark)
     rows = timed.select("client_id", "ts", F.unix_micros("ts").alias("us"), F.col("event_id").alias("row_id"))
     return rows.groupBy("client_id").transformWithStateInPandas(
         statefulProcessor=RateDecisions(limits),
