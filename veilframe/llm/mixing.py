@@ -100,13 +100,15 @@ def mix(
     tokens: Column | None = None,
     text_col: str = "text",
     id_cols: Sequence[str] = ("doc_id",),
+    key_cols: Sequence[str] | None = None,
 ) -> DataFrame:
     """Decisions for written rows: levels, n_tokens, n_copies (how often the row is taken) and the leaf's budget.
 
     ``levels`` maps level names, root first, to columns; ``weights`` maps level names to weights by
-    value ("*" for all others). The budget is a share of all tokens.
+    value ("*" for all others). The budget is a share of all tokens. The draw depends on ``key_cols`` (the id columns,
+    if not given) and the text.
     """
-    order_key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in id_cols]
+    order_key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols or id_cols]
     rows = written(docs.select(
         *[F.col(c).alias(f"id_{i}") for i, c in enumerate(id_cols)],
         *[c.alias(n) for n, c in levels.items()],
