@@ -27,17 +27,17 @@ def rate_limit_usage(df: DataFrame, key: str = "client_id", ts: str = "ts") -> D
     """Requests of the same key in the trailing minute and hour, the row itself included.
 
     Rows are counted per key and clock hour; every row also joins the next hour as context, so
-    that its trailing hour is complete there. A busy key is spread over its hours.
+    that its trailing hour is complete there. A busy key is spread over its hours. A count is the
+    difference of two counts from the start of the frame, which only grow: one pass over the
+    rows, however many fall into an hour.
     """
     micros = F.unix_micros(ts)
     hour = F.call_function("div", micros, F.lit(HOUR))
     rows = df.withColumns({"__us": micros, "__own": hour})
     rows = rows.withColumn("__hour", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
     w = Window.partitionBy(key, "__hour").orderBy("__us")
-    counted = rows.withColumns({
-        "last_minute": F.count("*").over(w.rangeBetween(-(MINUTE - 1), 0)),
-        "last_hour": F.count("*").over(w.rangeBetween(-(HOUR - 1), 0)),
-    })
+    until = lambda end: F.count("*").over(w.rangeBetween(Window.unboundedPreceding, end))
+    counted = rows.withColumns({"last_minute": until(0) - until(-MINUTE), "last_hour": until(0) - until(-HOUR)})
     return counted.where(F.col("__hour") == F.col("__own")).drop("__us", "__own", "__hour")
 
 
