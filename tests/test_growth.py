@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from veilframe.operators import limits as L
+from veilframe.streaming import state as S
 
 
 def plan(df):
@@ -24,3 +26,57 @@ def test_trailing_counts_use_growing_frames_only(spark):
     times = [t for _, _, t in rows]
     want = {i: (sum(t - 60 < x <= t for x in times), sum(t - 3600 < x <= t for x in times)) for i, _, t in rows}
     assert {r.event_id: (r.last_minute, r.last_hour) for r in used.collect()} == want
+
+
+class _Cell:
+    """Value, list and map state in memory; every access is counted."""
+
+    def __init__(self, calls):
+        self.calls, self.map, self.value = calls, {}, None
+
+    def __getattr__(self, name):
+        done = {
+            "containsKey": lambda k: k in self.map, "getValue": lambda k: self.map[k], "updateValue": self.map.__setitem__,
+            "removeKey": lambda k: self.map.pop(k), "iterator": lambda: iter(list(self.map.items())), "keys": lambda: iter(list(self.map)),
+            "values": lambda: iter(list(self.map.values())), "exists": lambda: self.value is not None, "get": lambda: self.value or (),
+            "update": lambda v: setattr(self, "value", v), "put": lambda v: setattr(self, "value", v), "clear": lambda: setattr(self, "value", None),
+        }[name]
+        self.calls.append(name)
+        return done
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.timers = [], []
+        self.getMapState = self.getValueState = self.getListState = lambda *_: _Cell(self.calls)
+        self.listTimers = lambda: list(self.timers)
+        self.deleteTimer, self.registerTimer = self.timers.remove, self.timers.append
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def _lifetimes(minutes, watermarks):
+    """Results of one row a minute, after each watermark; and the calls of the state."""
+    token, handle = S.TokenLifetime(30 * L.MINUTE), _Handle()
+    token.init(handle)
+    rows = pd.DataFrame({"us": [m * L.MINUTE for m in minutes], "row_id": list(minutes), "value": ["a" if m == 0 else None for m in minutes]})
+    list(token.handleInputRows(("s", "t"), iter([rows]), None))
+    out = [pd.concat([*token.handleExpiredTimer(("s", "t"), _Watermark(w * 60_000), None), pd.DataFrame()]) for w in watermarks]
+    return [dict(zip(o.get("row_id", []), o.get("found", []))) for o in out], handle
+
+
+def test_state_calls_follow_hours_not_minutes():
+    (found,), handle = _lifetimes(range(240), [300])
+    assert found == {m: "a" for m in range(240)}
+    assert len(handle.calls) < 60
+
+
+def test_minutes_are_decided_when_they_are_over():
+    (first, second, third), handle = _lifetimes([0, 10, 20, 51, 52, 70], [21, 52, 90])
+    assert first == {0: "a", 10: "a", 20: "a"}
+    assert second == {51: None}
+    assert third == {52: None, 70: None}
+    assert handle.timers == []
