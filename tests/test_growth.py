@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from veilframe.operators import limits as L
+from veilframe.operators import rule_table as T
 from veilframe.streaming import state as S
 
 
@@ -80,3 +81,12 @@ def test_minutes_are_decided_when_they_are_over():
     assert second == {51: None}
     assert third == {52: None, 70: None}
     assert handle.timers == []
+
+
+def test_equal_patterns_are_one_rule_and_only_numbers_move(spark):
+    texts = spark.createDataFrame([(1, "see word7 here"), (2, "nothing")], "k int, text string")
+    rules = spark.range(500).selectExpr("'deny' as list", "lpad(cast(id as string), 4, '0') as id", "concat('word', id % 10) as pattern")
+    met = T.candidate_rules(texts, rules, "k")
+    assert [(r.k, [(x.place.split("\x01")[0], x.pattern) for x in r.rules]) for r in met.collect()] == [(1, [("0007", "(?U)word7")])]
+    exploded = [line for line in plan(met).splitlines() if "Generate explode(grams" in line]
+    assert exploded and not any("text#" in line.split("],")[0] for line in exploded)
