@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from veilframe.operators import limits as L
+from veilframe.operators import policy as P
 from veilframe.operators import rule_table as T
 from veilframe.streaming import state as S
 
@@ -90,3 +91,14 @@ def test_equal_patterns_are_one_rule_and_only_numbers_move(spark):
     assert [(r.k, [(x.place.split("\x01")[0], x.pattern) for x in r.rules]) for r in met.collect()] == [(1, [("0007", "(?U)word7")])]
     exploded = [line for line in plan(met).splitlines() if "Generate explode(grams" in line]
     assert exploded and not any("text#" in line.split("],")[0] for line in exploded)
+
+
+def test_anchors_of_many_numbered_rules_are_shared_by_few(spark):
+    rules = spark.range(20_000).selectExpr("id as rule_index", "concat('Brand#', id % 7, ' ', id) as rule_text", "'warn' as action")
+    shared = P._anchored(rules).groupBy("gram").count()
+    assert shared.agg(F.max("count"), F.sum("count")).first()[:] == (1, 20_000)
+    texts = spark.createDataFrame([(1, "of BRAND#3 10 and brand#5 19997, 12345 123"), (2, "brand# 3 10")], "k int, text string")
+    blank = spark.createDataFrame([(-1, "  ", "warn")], "rule_index long, rule_text string, action string")
+    found = P.lint_with_table(texts, rules.unionByName(blank), "k", "text").collect()
+    want = [(t, 3) for t in ("Brand#3 10",)] + [(f"Brand#5 {n}", 18) for n in (19, 19997) if n % 7 == 5]
+    assert sorted((r.rule_text, r.start) for r in found) == sorted(want)

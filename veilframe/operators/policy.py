@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.columns import count_where, pinned
+from veilframe.session import BROADCAST_ROWS, stored
 
 SCORE_FLOOR = 0.5
 
@@ -117,11 +118,8 @@ def lint(df: DataFrame, rules: Sequence[Rule], text_col: str = "user_text", scor
     return pinned(step, {"violations": kept}).drop("__lower")
 
 
-_GRAM = 3
-
-
-def _words(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"\s+")), lambda w: w != "")
+#: Anchors of rules have one of these lengths, the largest that the rule has room for; grams are first looked up by ``_HEAD``.
+_LENGTHS, _HEAD = (8, 4, 2, 1), 4
 
 
 def _literal(text: Column) -> Column:
@@ -130,45 +128,56 @@ def _literal(text: Column) -> Column:
 
 
 def _anchored(rules: DataFrame) -> DataFrame:
-    """Each rule with its anchor: of the first grams of its words, not a single character if possible, the one that fewest rules have."""
-    grams = rules.select("rule_index", F.explode(F.array_distinct(
-        F.transform(_words(F.col("rule_text")), lambda w: F.substring(w, 1, _GRAM)))).alias("gram"))
+    """Each rule that is not blank with its anchor: of its parts of the longest length, spaces included, the one that fewest rules have."""
+    lowered = rules.where(F.rlike("rule_text", F.lit(r"\S"))).select("rule_index", F.lower("rule_text").alias("t"))
+    size = F.coalesce(*[F.when(F.length("t") >= n, n) for n in _LENGTHS])
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - size + 1), lambda i: F.substring("t", i, size)))
+    grams = lowered.select("rule_index", F.explode(parts).alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    best = grams.join(shared, "gram").groupBy("rule_index").agg(F.min(
-        F.struct((F.length("gram") == 1).alias("short"), "n", (-F.length("gram")).alias("l"), "gram")).alias("best"))
+    best = grams.join(shared, "gram").groupBy("rule_index").agg(F.min(F.struct("n", "gram")).alias("best"))
     return rules.join(best.select("rule_index", F.col("best.gram").alias("gram")), "rule_index")
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """A stored table, broadcast if it is small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def lint_with_table(df: DataFrame, rules: DataFrame, key: str, text_col: str = "user_text") -> DataFrame:
     """Violation rows of texts against a table of rules; the plan is the same for any number of rules.
 
     ``rules``: rule_index, rule_text, action (enabled ones; blank texts match nothing); ``key`` is
-    unique. A phrase can only stand in a text that has each of its words inside a word, so
-    texts and rules meet on a short gram of a word. Only the (key, rule) pairs found travel
-    to the texts, where the phrase is verified and located. Null texts have no violations.
+    unique. A phrase can only stand in a text that has its anchor, up to 8 characters of it, so texts and
+    rules meet on those. The beginnings of all anchors are few, whatever the number of rules, so what no rule begins with
+    goes before anything moves. Only the (key, rule) pairs found travel to the texts, where the phrase is verified and
+    located. Null texts have no violations.
     """
     rules = rules.select("rule_index", "rule_text", "action")
     texts = df.select(F.col(key).alias("__key"), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
-    # The characters from every place to the next two, read in one pass, and their beginnings.
-    ahead = F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(rf"(?=(\S{{1,{_GRAM}}}))"), F.lit(1)))
-    held = texts.select("__key", F.explode(ahead).alias("g"))
-    held = held.select("__key", F.explode(F.transform(F.sequence(F.lit(1), F.length("g")), lambda n: F.substring("g", F.lit(1), n))).alias("gram"))
-    anchors = _anchored(rules)
-    # Grams without a rule go before anything is grouped.
-    held = held.join(anchors.select("gram").distinct(), "gram", "left_semi").distinct()
-    pairs = held.join(anchors, "gram").select("__key", "rule_index", "rule_text", "action")
+    anchors = stored(_anchored(rules), "rule-anchors")
+    sizes = sorted(r[0] for r in anchors.select(F.length("gram")).distinct().collect())
+    heads = stored(anchors.select(F.substring("gram", 1, _HEAD).alias("head")).distinct(), "anchor-heads")
+    # The characters from every place on, read in one pass, and their beginnings.
+    ahead = F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(rf"(?s)(?=(.{{1,{max(sizes, default=1)}}}))"), F.lit(1)))
+    started = lambda n: F.array_distinct(F.transform("a", lambda g: F.substring(g, F.lit(1), F.lit(n))))
+    grams = F.array_distinct(F.concat(*[started(n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    held = texts.select("__key", ahead.alias("a")).select("__key", grams.alias("grams")).select("__key", F.explode("grams").alias("gram"))
+    held = held.withColumn("head", F.substring("gram", 1, _HEAD)).join(_sized(heads), "head", "left_semi")
+    pairs = held.select("__key", "gram").join(anchors, "gram").select("__key", "rule_index", "rule_text", "action").distinct()
     met = texts.join(pairs, "__key").where(F.contains(F.lower("__text"), F.lower("rule_text")))
     pattern = _literal(F.col("rule_text"))
     pieces = F.arrays_zip(
         F.regexp_extract_all("__text", pattern, F.lit(0)).alias("m"), F.split(F.col("__text"), pattern, -1).alias("g"))
     row = met.select("__key", "rule_index", "rule_text", "action", F.posexplode(pieces).alias("i", "p"))
+    # Of the texts between the matches only the lengths move.
+    row = row.select("__key", "rule_index", "rule_text", "action", "i", F.col("p.m").alias("m"), F.length("p.g").alias("gap"))
     # Running lengths inside one text and rule give the places.
     done = Window.partitionBy("__key", "rule_index").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("p.g") + F.coalesce(F.length("p.m"), F.lit(0))).over(done).cast("int")
-    found = row.withColumn("end", end).where(F.col("p.m").isNotNull())
+    end = F.sum(F.col("gap") + F.coalesce(F.length("m"), F.lit(0))).over(done).cast("int")
+    found = row.withColumn("end", end).where(F.col("m").isNotNull())
     return found.select(
-        F.col("__key").alias(key), "rule_index", "rule_text", "action", F.col("p.m").alias("token_text"),
-        (F.col("end") - F.length("p.m")).alias("start"), "end", F.lit(1.0).alias("score"))
+        F.col("__key").alias(key), "rule_index", "rule_text", "action", F.col("m").alias("token_text"),
+        (F.col("end") - F.length("m")).alias("start"), "end", F.lit(1.0).alias("score"))
 
 
 def violation_rows(df: DataFrame, *keys: str) -> DataFrame:
