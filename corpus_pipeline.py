@@ -33,7 +33,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingle sets of similarity 0.8 the document with the smallest id stays."""
+    """Of each group linked by five-word shingle sets of similarity 0.8 the document with the smallest id stays.
+
+    SimHash fingerprints met by Golay keys link the closest copies, MinHash keys the others.
+    """
     return keep_one_of_similar(docs)
 
 

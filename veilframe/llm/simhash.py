@@ -40,6 +40,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A fingerprint of each run of hashes: the bits set in over half of them; zero for an empty run."""
+    full = np.flatnonzero(sizes)
+    out = np.zeros(len(sizes), np.uint64)
+    if len(full):
+        begin = (np.cumsum(sizes) - sizes)[full]
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+        packed = np.packbits(2 * ones > sizes[full, None], axis=1, bitorder="little")
+        out[full] = packed.view("<u8")[:, 0]
+    return out
+
+
 def _fingerprints(raw: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
@@ -47,9 +60,8 @@ def _fingerprints(raw: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     n = w.counts
     shingles = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     total = int(shingles.sum())
-    out = np.zeros(len(n), np.uint64)
     if not total:
-        return out
+        return np.zeros(len(n), np.uint64)
     begin = np.cumsum(shingles) - shingles
     head = np.repeat(w.first[:-1] - begin, shingles) + np.arange(total)
     tail = head + np.repeat(np.minimum(size, np.maximum(n, 1)), shingles) - 1
@@ -59,12 +71,7 @@ def _fingerprints(raw: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
         np.uint64,
         total,
     )
-    full = np.flatnonzero(shingles)
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(total, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, begin[full], axis=0, dtype=np.int32)
-    packed = np.packbits(2 * ones > shingles[full, None], axis=1, bitorder="little")
-    out[full] = packed.view("<u8")[:, 0]
-    return out
+    return majority(hashes, shingles)
 
 
 def simhash(text: str | Column, shingle_words: int = SHINGLE_WORDS) -> Column:

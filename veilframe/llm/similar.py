@@ -1,7 +1,13 @@
-"""Near-duplicates by the similarity of shingle sets: MinHash keys, an exact join where keys are crowded, every pair verified.
+"""Near-duplicates by the similarity of shingle sets: SimHash fingerprints met by Golay keys, then MinHash keys, an exact
+join where keys are crowded, every pair verified.
 
 A text is the set of its shingles of ``SHINGLE_WORDS`` words (ASCII letters lower-cased); two texts
-are linked if the Jaccard similarity of their sets is at least ``SIMILARITY``. Candidates share one
+are linked if the Jaccard similarity of their sets is at least ``SIMILARITY``.
+
+The closest copies are found first, by the method of ``simhash``: each set has a 64-bit fingerprint, fingerprints of at most two
+differing bits meet under their Golay keys, one set of each fingerprint is compared with the others and with those of
+the fingerprints near it. Sets of similarity 0.8 differ in about ten bits, which these keys do not reach, so the rest is
+found by MinHash keys; what the fingerprints linked is not compared again. Those candidates share one
 of ``BANDS`` keys, each made of ``ROWS`` MinHash values: a pair of similarity s has none in common
 with probability (1 - s^ROWS)^BANDS, 3 in 100,000 at 0.8 and less above. Nothing else is lost:
 candidates are verified by their whole sets, and no group is capped.
@@ -33,6 +39,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.bytearrays import mix, prefix_hash, span_hash, words
 from veilframe.llm.common import chunks, discard, limit_batches, placed, sized_join, text_buffer, written
 from veilframe.llm.components import components
+from veilframe.llm.simhash import fingerprint_links, majority
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -97,15 +104,16 @@ def _each_chunk(batches, size: int):
 
 
 def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(row, file, number, name, d0, d1, n, keys) of (row, file, number, name, text)."""
+    """(row, file, number, name, d0, d1, n, fp, keys) of (row, file, number, name, text)."""
     own = ["row", "file", "number", "name"]
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in own) + ", d0 long, d1 long, n long, keys array<long>"
+    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in own) + ", d0 long, d1 long, n long, fp long, keys array<long>"
 
     def run(batches):
         for part, hashes, sizes in _each_chunk(batches, size):
             d0, d1 = _sums(hashes, sizes)
-            columns = [part.column(c) for c in own] + [pa.array(d0.view(np.int64)), pa.array(d1.view(np.int64)), pa.array(sizes.astype(np.int64)), _keys(hashes, sizes)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*own, "d0", "d1", "n", "keys"])
+            numbers = [d0.view(np.int64), d1.view(np.int64), sizes.astype(np.int64), majority(mix(hashes), sizes).view(np.int64)]
+            columns = [part.column(c) for c in own] + [pa.array(x) for x in numbers] + [_keys(hashes, sizes)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*own, "d0", "d1", "n", "fp", "keys"])
 
     return docs.select(*own, "text").mapInArrow(run, schema)
 
@@ -185,15 +193,32 @@ def _prefix_pairs(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return met.where(_fitting("x", "y", similarity) & enough).select(_pair("x", "y"))
 
 
-def similar_links(keys: DataFrame, texts_of, shingle_words: int, similarity: float) -> DataFrame:
+def close_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the classes (node, n, fp) to compare because their fingerprints differ in at most two bits.
+
+    Of each fingerprint one class leads. It is compared with the others of its fingerprint and with the leaders of the
+    fingerprints near it.
+    """
+    prints = written(classes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("lead")), "prints")
+    own = classes.select("fp", F.struct("node", "n").alias("own")).join(prints.hint("merge"), "fp").where("own.node <> lead.node")
+    links = written(fingerprint_links(prints).distinct(), "print-links")
+    of = lambda x, name: prints.select(F.col("fp").alias(x), F.col("lead").alias(name)).hint("merge")
+    near = links.join(of("a", "one"), "a").join(of("b", "other"), "b")
+    return own.where(_fitting("lead", "own", similarity)).select(_pair("lead", "own")).unionByName(
+        near.where(_fitting("one", "other", similarity)).select(_pair("one", "other")))
+
+
+def similar_links(keys: DataFrame, texts_of, shingle_words: int, similarity: float, close: DataFrame) -> DataFrame:
     """(node, root) of all classes that are linked.
 
-    ``keys``: written (key, node, n); ``texts_of`` gives (node, text) of a written table of nodes.
+    ``keys``: written (key, node, n); ``texts_of`` gives (node, text) of a written table of nodes; ``close``: written pairs
+    (a, b) to compare before those of the keys.
     """
     shared = written(_apart(_rooted(keys, None)), "shared-keys")
     met = written(sized_join(_rooted(keys, None), shared, "key", "inner"), "met")
     discard(keys, shared)
-    nodes = written(met.select("node").distinct(), "nodes")
+    nodes = met.select("node").unionByName(close.select(F.explode(F.array("a", "b")).alias("node")))
+    nodes = written(nodes.distinct(), "nodes")
     sets = written(_sets(texts_of(nodes), shingle_words), "shingle-sets")
     discard(nodes)
 
@@ -207,9 +232,13 @@ def similar_links(keys: DataFrame, texts_of, shingle_words: int, similarity: flo
         discard(links)
         return out
 
+    roots = extended(None, close, "close")
+    rooted = written(_rooted(met.select("key", "node", "n", "members"), roots), "rooted")
+    discard(met)
+    met = rooted
     leads = _leads(met)
     led = sized_join(met, leads, "key", "inner").select("lead", F.struct("node", "n", "root").alias("own")).where("own.root <> lead.root")
-    roots = extended(None, led.where(_fitting("lead", "own", similarity)).select(_pair("lead", "own")), "led")
+    roots = extended(roots, led.where(_fitting("lead", "own", similarity)).select(_pair("lead", "own")), "led")
     discard(leads)
     # What the leader leaves apart under a key.
     rooted = _rooted(met.select("key", "node", "n"), roots)
@@ -237,7 +266,7 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.col(f"`{id_col}`").alias("name"), F.col(f"`{text_col}`").alias("text"))
     sketches = written(_sketches(texts, shingle_words), "sketches")
     first = F.min(F.struct(F.col("name").isNull().alias("none"), "name", "row")).alias("best")
-    classes = written(sketches.groupBy("d0", "d1", "n").agg(F.min("row").alias("node"), first, F.count("*").alias("copies")), "classes")
+    classes = written(sketches.groupBy("d0", "d1", "n").agg(F.min("row").alias("node"), F.min("fp").alias("fp"), first, F.count("*").alias("copies")), "classes")
     own = sized_join(sketches.select("row", "n", "keys"), classes.select(F.col("node").alias("row")), "row", "left_semi")
     keys = written(own.select(F.explode("keys").alias("key"), F.col("row").alias("node"), "n"), "keys")
 
@@ -245,7 +274,8 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         where = written(sized_join(sketches.select(F.col("row").alias("node"), "file", "number"), nodes, "node", "left_semi"), "places")
         return sized_join(marked.select(F.col(places[0]).alias("file"), F.col(places[1]).alias("number"), F.col(f"`{text_col}`").alias("text")), where, ["file", "number"], "inner")
 
-    roots = similar_links(keys, texts_of, shingle_words, similarity)
+    close = written(close_pairs(classes.where("n > 0").select("node", "n", "fp"), similarity), "close")
+    roots = similar_links(keys, texts_of, shingle_words, similarity, close)
     grouped = written(sized_join(classes, roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "grouped")
     # One row of each component stays, the one with the smallest id.
     best = grouped.groupBy("root").agg(F.min("best").alias("best"), F.sum("copies").alias("copies"))
@@ -254,5 +284,5 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # A class may hold many rows: the join's exchanges are plain, which the adaptive skew join splits.
     dropped = sized_join(sketches.select("row", "file", "number", "d0", "d1", "n"), stays, ["d0", "d1", "n"], "inner").where("row <> keep")
     dropped = written(dropped.select(F.col("file").alias(places[0]), F.col("number").alias(places[1])), "dropped")
-    discard(sketches, classes, grouped, stays, roots)
+    discard(sketches, classes, grouped, stays, roots, close)
     return sized_join(marked, dropped, places, "left_anti").select([f"`{c}`" for c in docs.columns])
