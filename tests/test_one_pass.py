@@ -6,7 +6,7 @@ from veilframe.operators import detect as D
 
 def test_texts_are_cut_at_marks_and_not_matched_twice(spark):
     lines = [f"mail alice{i}@example.com now, ü 10.0.0.{i} and 123-45-6789" for i in range(4)]
-    texts = ["; ".join(lines), f"{MARK} " + "; ".join(lines), lines[0] + MARK, lines[1] + "$0 \\", "", None, "nothing"]
+    texts = ["; ".join(lines), f"{MARK} " + "; ".join(lines), lines[0] + MARK, lines[1] + " $x \\", "", None, "nothing"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     found = D.detect(docs)
     for row in found.collect():

@@ -58,7 +58,9 @@ class FindingsStore:
         chosen = hashes.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("k").alias("k"))
         known = stored(self.alive(as_of), "known-results")
         unseen = chosen.join(known.select("content_hash"), "content_hash", "left_anti")
-        fresh = lookup_join(df.select(F.col(key).alias("k"), F.col(text_col).alias("__text")), unseen, ["k"], "inner")
+        fresh = lookup_join(df.select(F.col(key).alias("k"), F.col(text_col).alias("__text")), unseen.select("k"), ["k"], "inner", unique=True)
+        # The hash is taken anew where the text is, rather than moved.
+        fresh = fresh.withColumn("content_hash", F.sha2("__text", 256))
         found = stored(detect(fresh, "__text", out="spans", **self.layers).select("content_hash", "spans"), "new-results")
         self._add(found, as_of)
         results = known.withColumn("was_stored", F.lit(True)).unionByName(found.withColumn("was_stored", F.lit(False)))
