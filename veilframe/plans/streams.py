@@ -118,7 +118,7 @@ def stream_sliding_usage(spark, sf_dir):
 @register("stream_document_scan", "with " + ",\n".join([O.docs_pii_cte(), O.found_cte(), O.resolved_cte(), O.token_ctes()]) + """
 select doc_id, pii_type, count(*) as n, sanitized from resolved join sanitized using (doc_id) group by all""")
 def stream_document_scan(spark, sf_dir):
-    build = lambda source: D.entity_counts(Z.sanitize(docs_pii(spark, sf_dir, source))).select("doc_id", "sanitized", "entity_types")
+    build = lambda source: D.entity_counts(Z.sanitize(J.dealt(docs_pii(spark, sf_dir, source), "doc_id"))).select("doc_id", "sanitized", "entity_types")
     out = _run(spark, sf_dir, "documents", build, "scan")
     return D.explode_counts(out, "doc_id", "sanitized")
 

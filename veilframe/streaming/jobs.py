@@ -19,6 +19,15 @@ WATERMARK = "10 minutes"
 IDLE_GAP = "30 minutes"
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of every micro-batch over all cores by their keys, for CPU-heavy work.
+
+    A micro-batch has as many tasks as its files have splits, which may be few and of very different length. Each
+    row moves once; two tasks a core even out long rows.
+    """
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def ingest_events(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Idempotent ingest: known versions only, one row per event id."""
     return guard_schema_version(events).withWatermark("event_ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
