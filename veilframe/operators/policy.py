@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.columns import count_where, pinned
+from veilframe.functions.phrases import LENGTHS, Phrases, apart, hashes, pieces
 from veilframe.session import BROADCAST_ROWS, stored
 
 SCORE_FLOOR = 0.5
@@ -118,8 +123,17 @@ def lint(df: DataFrame, rules: Sequence[Rule], text_col: str = "user_text", scor
     return pinned(step, {"violations": kept}).drop("__lower")
 
 
-#: Anchors of rules have one of these lengths, the largest that the rule has room for; grams are first looked up by ``_HEAD``.
-_LENGTHS, _HEAD = (8, 4, 2, 1), 4
+#: Grams are first looked up by so many characters.
+_HEAD = 4
+#: So many rules with so many characters in all go to the texts.
+TOGETHER, TOGETHER_CHARS = BROADCAST_ROWS, 1 << 24
+#: So many texts are searched at a time.
+_TEXTS = 256
+#: Bits of the table of all anchors' hashes, as a power of two; it is sent to the texts whole.
+TABLE_BITS = 27
+#: Characters whose folding without case is lower-casing one by one, in the engine's patterns too. Texts of these alone are searched lower-cased.
+_PLAIN = (r"\x00-\u00B4\u00B6-\u012F\u0132-\u0148\u014A-\u017E\u0400-\u045F\u2010-\u2027\u2030-\u205E\u20A0-\u20BF"
+          r"\u3000-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7A3")
 
 
 def _literal(text: Column) -> Column:
@@ -130,7 +144,7 @@ def _literal(text: Column) -> Column:
 def _anchored(rules: DataFrame) -> DataFrame:
     """Each rule that is not blank with its anchor: of its parts of the longest length, spaces included, the one that fewest rules have."""
     lowered = rules.where(F.rlike("rule_text", F.lit(r"\S"))).select("rule_index", F.lower("rule_text").alias("t"))
-    size = F.coalesce(*[F.when(F.length("t") >= n, n) for n in _LENGTHS])
+    size = F.coalesce(*[F.when(F.length("t") >= n, n) for n in LENGTHS])
     parts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - size + 1), lambda i: F.substring("t", i, size)))
     grams = lowered.select("rule_index", F.explode(parts).alias("gram"))
     shared = grams.groupBy("gram").agg(F.count("*").alias("n"))
@@ -143,24 +157,145 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _is_plain(text: Column) -> Column:
+    # Most texts hold Latin letters alone, which takes two short classes; the engine is slow at long ones.
+    latin = ~F.rlike(text, F.lit(r"[^\x00-\u017E]"))
+    return F.is_valid_utf8(text) & F.when(latin, ~F.rlike(text, F.lit(r"[\u00B5\u0130\u0131\u0149]"))).otherwise(~F.rlike(text, F.lit(f"[^{_PLAIN}]")))
+
+
+#: The last rules used in this process.
+_BUILT: dict[str, Phrases] = {}
+
+
+def _built(name: str, phrases: list[str]) -> Phrases:
+    if name not in _BUILT:
+        if len(_BUILT) >= 4:
+            _BUILT.clear()
+        _BUILT[name] = Phrases(phrases)
+    return _BUILT[name]
+
+
+def _places(text: Column, phrases: list[str]) -> Column:
+    """``array<struct<number,start,m>>``: where a text has the phrases without case, each from the left without overlaps."""
+    name = uuid.uuid4().hex
+
+    @F.arrow_udf("array<struct<number:int,start:int,m:string>>")
+    def places(texts: pa.Array) -> pa.Array:
+        known, many, numbers, starts, m = _built(name, phrases), [], [], [], []
+        for first in range(0, len(texts), _TEXTS):
+            some = texts[first : first + _TEXTS]
+            row, number, start = known.find(pc.utf8_lower(some))
+            kept = apart(row, number, start, known.sizes)
+            row, number, start = row[kept], number[kept], start[kept]
+            strings = {i: some[i].as_py() for i in np.unique(row).tolist()}
+            m += [strings[r][s:e] for r, s, e in zip(row.tolist(), start.tolist(), (start + known.sizes[number]).tolist())]
+            many.append(np.bincount(row, minlength=len(some)))
+            numbers.append(number.astype(np.int32))
+            starts.append(start.astype(np.int32))
+        whole = lambda parts: pa.array(np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int32))
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *many]))]).astype(np.int32))
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([whole(numbers), whole(starts), pa.array(m, pa.string())], ["number", "start", "m"]))
+
+    return places(text)
+
+
+def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in the table for each hash."""
+    return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64), (h & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+
+
+def _present(texts: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The rules whose anchor occurs in any of the texts: a table of two bits per anchor goes over the texts, what it lets through is joined."""
+    @F.arrow_udf("array<bigint>")
+    def bits(grams: pa.Array) -> pa.Array:
+        out = np.zeros((len(grams), 2), np.int64)
+        for first, chars, at in pieces(grams):
+            sizes = np.diff(at)
+            for n, h in hashes(chars, LENGTHS).items():
+                some = np.flatnonzero(sizes == n)
+                out[some + first, 0], out[some + first, 1] = _bits(h[at[some]])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(grams) + 1, dtype=np.int32) * 2), pa.array(out.ravel()))
+
+    placed = anchors.select(F.explode(bits("gram")).alias("bit")).select((F.col("bit") + 1).alias("bit"))
+    rows = placed.groupBy(F.bitmap_bucket_number("bit").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    sizes = [r[0] for r in anchors.select(F.length("gram")).distinct().collect()]
+    maps = {r["b"] - 1: bytes(r["bits"]) for r in rows}
+
+    @F.arrow_udf("array<string>")
+    def grams(texts: pa.Array) -> pa.Array:
+        table = np.zeros(1 << TABLE_BITS >> 3, np.uint8)
+        for k, one in maps.items():
+            table[k * len(one) : (k + 1) * len(one)] = np.frombuffer(one, np.uint8)
+        low, found = pc.utf8_lower(texts), {}
+        for _, chars, at in pieces(low):
+            for n, h in (hashes(chars, sizes) if len(chars) else {}).items():
+                left = np.arange(len(h))
+                for k in (0, 1):
+                    bit = _bits(h[left])[k]
+                    left = left[(table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+                left = left[np.unique(h[left], return_index=True)[1]]
+                for p in left.tolist():
+                    found["".join(map(chr, chars[p : p + n].tolist()))] = True
+        ends = np.full(len(texts) + 1, len(found), np.int32)
+        ends[0] = 0
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(list(found), pa.string()))
+
+    met = texts.select(F.explode(grams("__text")).alias("gram")).distinct()
+    return anchors.join(met, "gram", "left_semi")
+
+
 def lint_with_table(df: DataFrame, rules: DataFrame, key: str, text_col: str = "user_text") -> DataFrame:
-    """Violation rows of texts against a table of rules; the plan is the same for any number of rules.
+    """Violation rows of texts against a table of rules; the plan is the same for any number of rules up to ``TOGETHER`` and beyond.
 
     ``rules``: rule_index, rule_text, action (enabled ones; blank texts match nothing); ``key`` is
-    unique. A phrase can only stand in a text that has its anchor, up to 8 characters of it, so texts and
+    unique. Null texts have no violations. Up to ``TOGETHER`` rules go to the texts and are found there at once, no text moves. Of more
+    rules those go whose anchor occurs in the texts at all, which a first pass over the texts tells. Where even those are too many, and
+    for texts with characters that fold in other ways than to lower case, texts and rules meet by joins (``_joined``).
+    """
+    rules = rules.select("rule_index", "rule_text", "action").where(F.rlike("rule_text", F.lit(r"\S")) & F.col("rule_index").isNotNull()).distinct()
+    texts = df.select(F.col(key).alias("__key"), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
+    plain, odd = texts.where(_is_plain(F.col("__text"))), texts.where(~_is_plain(F.col("__text")))
+    few = rules = stored(rules, "rules")
+    if not _fit(rules):
+        few = stored(_present(plain, stored(_anchored(rules), "rule-anchors")).drop("gram"), "present-rules")
+    if not _fit(few):
+        return _joined(texts, rules, key)
+    shipped = few.select("rule_index", "rule_text", "action", F.lower("rule_text").alias("t")).collect()
+    numbers = {}
+    for r in shipped:
+        numbers.setdefault(r["t"], len(numbers))
+    hits = plain.select("__key", F.explode(_places(F.col("__text"), list(numbers))).alias("h")).select("__key", "h.*")
+    place = stored(df.sparkSession.createDataFrame([(numbers[r["t"]], r["rule_index"], r["rule_text"], r["action"]) for r in shipped], "number int, " + _typed(few)), "numbered-rules")
+    found = hits.join(F.broadcast(place), "number").select(
+        F.col("__key").alias(key), "rule_index", "rule_text", "action", F.col("m").alias("token_text"),
+        "start", (F.col("start") + F.length("m")).alias("end"), F.lit(1.0).alias("score"))
+    return found if odd.limit(1).count() == 0 else found.unionByName(_joined(odd, rules, key))
+
+
+def _typed(rules: DataFrame) -> str:
+    return ", ".join(f"{n} {t}" for n, t in rules.select("rule_index", "rule_text", "action").dtypes)
+
+
+def _fit(rules: DataFrame) -> bool:
+    """Whether rules may go to the texts."""
+    n, chars = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("rule_text")), F.lit(0))).first()
+    return n <= TOGETHER and chars <= TOGETHER_CHARS
+
+
+def _joined(texts: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """Violation rows by joins.
+
+    A phrase can only stand in a text that has its anchor, up to 8 characters of it, so texts and
     rules meet on those. The beginnings of all anchors are few, whatever the number of rules, so what no rule begins with
     goes before anything moves. Only the (key, rule) pairs found travel to the texts, where the phrase is verified and
-    located. Null texts have no violations.
+    located.
     """
-    rules = rules.select("rule_index", "rule_text", "action")
-    texts = df.select(F.col(key).alias("__key"), F.col(text_col).alias("__text")).where(F.col("__text").isNotNull())
     anchors = stored(_anchored(rules), "rule-anchors")
-    sizes = sorted(r[0] for r in anchors.select(F.length("gram")).distinct().collect())
     heads = stored(anchors.select(F.substring("gram", 1, _HEAD).alias("head")).distinct(), "anchor-heads")
     # The characters from every place on, read in one pass, and their beginnings.
-    ahead = F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(rf"(?s)(?=(.{{1,{max(sizes, default=1)}}}))"), F.lit(1)))
+    ahead = F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(rf"(?s)(?=(.{{1,{max(LENGTHS)}}}))"), F.lit(1)))
     started = lambda n: F.array_distinct(F.transform("a", lambda g: F.substring(g, F.lit(1), F.lit(n))))
-    grams = F.array_distinct(F.concat(*[started(n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    grams = F.array_distinct(F.concat(*[started(n) for n in LENGTHS]))
     held = texts.select("__key", ahead.alias("a")).select("__key", grams.alias("grams")).select("__key", F.explode("grams").alias("gram"))
     held = held.withColumn("head", F.substring("gram", 1, _HEAD)).join(_sized(heads), "head", "left_semi")
     pairs = held.select("__key", "gram").join(anchors, "gram").select("__key", "rule_index", "rule_text", "action").distinct()
